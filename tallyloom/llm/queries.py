@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import exact_dedup, packing, sharding
+from tallyloom.llm import exact_dedup, jaccard, packing, sharding
 from tallyloom.llm.common import documents
 
 
@@ -19,11 +19,15 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir), 16)
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(documents(spark, sf_dir), width=3, num=90, den=100)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op4_sharding, op9_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op4_sharding, op7_ngram_jaccard_join, op9_packing)}
 
 #: DuckDB SQL for the rows of those queries that SQL can express.
 ORACLES = {
@@ -31,4 +35,13 @@ ORACLES = {
         with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
         g as (select t, min(doc_id) as keep_id, count(*) as group_size from d group by t)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from d join g using (t)""",
+    "op7_ngram_jaccard_join": r"""
+        with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+        s as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) end as s from d),
+        t as (select doc_id, len(s) as n, unnest(s) as t from s),
+        links as (select a.doc_id as a, b.doc_id as b from t as a join t as b on a.t = b.t and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+            group by all having 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+        edges as (select a, b from links union all select b, a from links),
+        reach as (select doc_id as x, doc_id as y from s union select r.x, e.b from reach as r join edges as e on r.y = e.a)
+        select doc_id, len(s) as n_shingles, c.component_id from s join (select x, min(y) as component_id from reach group by x) as c on c.x = s.doc_id""",
 }
