@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.llm.common import stored
-from tallyloom.llm.words import chunks
+from tallyloom.llm.words import chunks, ragged
 
 CAPACITY = 2048
 #: Rests below this are not cut; a bin of them wastes less than one of them.
@@ -68,13 +68,6 @@ class WordIds:
         return at[codes]
 
 
-def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Positions of runs, one after another."""
-    total = int(lengths.sum())
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
-
-
 _cached: dict[str, WordIds] = {}
 
 

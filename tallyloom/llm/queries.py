@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import exact_dedup, jaccard, packing, sharding
+from tallyloom.llm import exact_dedup, jaccard, packing, sharding, substring, suffix
 from tallyloom.llm.common import documents
 
 
@@ -19,15 +19,23 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir), 16)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_substrings(documents(spark, sf_dir), window=20, digest=True)
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(documents(spark, sf_dir), width=3, num=90, den=100)
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_suffixes(documents(spark, sf_dir), window=200, digest=True)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op4_sharding, op7_ngram_jaccard_join, op9_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op4_sharding, op6_substring_dedup, op7_ngram_jaccard_join, op8_suffix_array_dedup, op9_packing)}
 
 #: DuckDB SQL for the rows of those queries that SQL can express.
 ORACLES = {
@@ -35,6 +43,15 @@ ORACLES = {
         with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
         g as (select t, min(doc_id) as keep_id, count(*) as group_size from d group by t)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from d join g using (t)""",
+    "op6_substring_dedup": r"""
+        with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+        s as (select doc_id, unnest(range(1, len(w) - 18)) as i, w from d),
+        v as (select doc_id, i, array_to_string(w[i:i + 19], ' ') as t from s),
+        again as (select doc_id, i from (select doc_id, i, row_number() over (partition by t order by doc_id, i) as n from v) where n > 1),
+        gone as (select doc_id, list_sort(list_distinct(flatten(list(range(i, i + 20))))) as g from again group by doc_id)
+        select doc_id, len(w) as n_words, coalesce(len(g), 0) as n_removed,
+            sha256(array_to_string(case when g is null then w else list_transform(list_filter(range(1, len(w) + 1), lambda k: not list_contains(g, k)), lambda k: w[k]) end, ' ')) as kept_sha256
+        from d left join gone using (doc_id)""",
     "op7_ngram_jaccard_join": r"""
         with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
         s as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) end as s from d),
