@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import exact_dedup, jaccard, packing, sharding, substring, suffix
+from tallyloom.llm import ann, exact_dedup, jaccard, mixing, packing, quality, sharding, substring, suffix, token_counts
 from tallyloom.llm.common import documents
 
 
@@ -15,10 +15,22 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.with_chances(documents(spark, sf_dir), keep=0.8, power=0.7)
+
+
+def op3_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir), 16)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("th")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_substrings(documents(spark, sf_dir), window=20, digest=True)
 
@@ -35,7 +47,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op4_sharding, op6_substring_dedup, op7_ngram_jaccard_join, op8_suffix_array_dedup, op9_packing)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return token_counts.count_with_edits(docs, token_counts.drill, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_inverted_multi_index, op4_sharding, op5_quality_classifier, op6_substring_dedup, op7_ngram_jaccard_join, op8_suffix_array_dedup, op9_packing, op10_token_counts)}
 
 #: DuckDB SQL for the rows of those queries that SQL can express.
 ORACLES = {
