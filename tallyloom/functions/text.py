@@ -202,12 +202,3 @@ def cer(reference: Column, hypothesis: Column, clamp: bool = False) -> Column:
 
 def drift(reference: Column, other: Column) -> Column:
     return F.levenshtein(reference, other) / F.greatest(F.lit(1), F.length(reference))
-
-
-def repetitive_tail(text: Column, tail: int = 200, span: int = 20, times: int = 3) -> Column:
-    """Some string of `span` characters occurs `times` times or more in the last `tail` characters."""
-    end = F.when(F.length(text) > tail, F.substr(text, F.length(text) - tail + 1)).otherwise(text)
-    last = F.length(end) - span + 1
-    grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(end, i, F.lit(span)))
-    most = F.array_max(F.transform(F.array_distinct(grams), lambda g: F.size(F.filter(grams, lambda x: x == g))))
-    return F.when(last < 1, False).otherwise(most >= times)
