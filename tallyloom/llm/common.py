@@ -35,6 +35,7 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyloom/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the plan that has just ended
     _kept.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
