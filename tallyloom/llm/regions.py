@@ -16,13 +16,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import mixed, rolling, stored
+from tallyloom.llm.common import drop_stored, rolling, stored
 from tallyloom.llm.words import BYTES, Chunk, buffers, pieces, ragged, split
 
-#: Places that name a gram beyond which its windows are dealt one by one, by a hash of their whole content.
-HOT = 1000
+#: Places that name a gram beyond which its windows are dealt one by one, by a hash of their whole content; of words and bytes.
+HOT = {False: 20_000, True: 100_000}
 
-_NONE = np.uint64(2**64 - 1)
+#: Bytes of text that are worked on at a time, unless one document is longer: arrays of several values a byte stay in a core's cache.
+PART = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -61,6 +62,14 @@ def sliding(x: np.ndarray, w: int, best: np.ufunc) -> np.ndarray:
     return best(out[: len(x) - w + 1], out[w - width : len(x) - width + 1]) if width < w else out
 
 
+def gram_values(h: np.ndarray, n: int) -> np.ndarray:
+    """32-bit hash, not 0, of each run of n units. Unlike grams with equal values only meet in one group."""
+    x = rolling(h, n)
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
 @dataclass
 class Windows:
     """The windows of a chunk of texts."""
@@ -74,22 +83,18 @@ class Windows:
     span: int  # grams in a window
     covered: np.ndarray  # grams that lie in some window
 
-    def text(self) -> np.ndarray:
-        """Text of each window."""
-        return np.searchsorted(self.edges, self.at, "right") - 1
-
     def named(self) -> np.ndarray:
         """Places of the grams that are named."""
         if not len(self.at):
             return self.at
-        per = np.zeros(len(self.grams) + self.span - 1, np.uint64)
+        per = np.zeros(len(self.grams) + self.span - 1, np.uint32)
         per[self.at + self.span - 1] = self.least
         return np.flatnonzero((sliding(per, self.span, np.maximum) == self.grams) & self.covered)
 
 
 def windows(column: pa.Array, scheme: Scheme) -> Iterator[Windows]:
     offsets, data = buffers(column)
-    for i, j in pieces(offsets):
+    for i, j in pieces(offsets, PART):
         bytes_, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         if scheme.bytes:
             c, h, edges = Chunk(i, bytes_, off, off, off, off), BYTES[bytes_], off
@@ -97,23 +102,21 @@ def windows(column: pa.Array, scheme: Scheme) -> Iterator[Windows]:
             c = split(bytes_, off, i)
             h, edges = c.hashes(), c.words
         counts = np.diff(edges)
-        at = ragged(edges[:-1], np.maximum(counts - scheme.window + 1, 0))
+        long = counts >= scheme.window
+        at = ragged(edges[:-1][long], counts[long] - scheme.window + 1)
         if not len(at):
-            yield Windows(c, edges, h, np.empty(0, np.uint64), at, np.empty(0, np.uint64), scheme.grams, np.empty(0, bool))
+            none = np.empty(0, np.uint32)
+            yield Windows(c, edges, h, none, at, none, scheme.grams, np.empty(0, bool))
             continue
-        grams = mixed(rolling(h, scheme.gram))
-        grams[grams == _NONE] = 0
-        least = sliding(grams, scheme.grams, np.minimum)[at]
-        covered = np.zeros(len(grams) + 1, np.int32)  # grams that lie in some window
-        np.add.at(covered, at, 1)
-        ends = np.minimum(at + scheme.grams, len(grams))
-        np.add.at(covered, ends, -1)
-        yield Windows(c, edges, h, grams, at, least, scheme.grams, np.cumsum(covered[:-1]) > 0)
+        grams = gram_values(h, scheme.gram)
+        covered = np.zeros(len(grams), bool)
+        covered[ragged(edges[:-1][long], counts[long] - scheme.gram + 1)] = True
+        yield Windows(c, edges, h, grams, at, sliding(grams, scheme.grams, np.minimum)[at], scheme.grams, covered)
 
 
 def regions(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """docs: key, text. One row per region: m (its gram, or a hash of its one window where the gram is hot), key, start (unit),
-    anchor (units from start to the gram), tid (128-bit hash of its content) and content (bytes; words joined by one space)."""
+    """docs: key, text. One row per region: m (its gram, or a hash of its one window where the gram is hot), tid (64-bit hash of
+    its content; with m it names the content), key, start, length and anchor (units; anchor: from start to the gram)."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,10 +130,10 @@ def regions(docs: DataFrame, scheme: Scheme) -> DataFrame:
                 new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
                 first = np.flatnonzero(new)
                 n = np.diff(np.append(first, len(h)))
-                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(k[first], pa.int64()), pa.array(n, pa.int32())], ["h", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].astype(np.int64)), pa.array(k[first], pa.int64()), pa.array(n, pa.int32())], ["h", "key", "n"])
 
     posted = stored(docs.mapInArrow(anchors, "h long, key long, n int"))
-    repeated = posted.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
+    repeated = posted.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h", (F.col("n") > HOT[scheme.bytes]).alias("hot"))
     by_text = posted.join(repeated, "h").groupBy("key").agg(F.collect_list(F.when(~F.col("hot"), F.col("h"))).alias("cool"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hot"))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,28 +144,73 @@ def regions(docs: DataFrame, scheme: Scheme) -> DataFrame:
                 yield from cut(w, keys, cool, hot, scheme)
 
     joined = docs.join(by_text, "key").select("key", "text", "cool", "hot")
-    return joined.mapInArrow(found, "m long, key long, start long, anchor int, tid binary, content binary")
+    out = stored(joined.mapInArrow(found, "m long, tid long, key long, start long, length int, anchor int"))
+    drop_stored(posted)
+    return out
+
+
+def contents(docs: DataFrame, wanted: DataFrame, scheme: Scheme) -> DataFrame:
+    """docs: key, text; wanted: m, tid, key, start, length, anchor. Those columns and content (bytes; words joined by one space)."""
+    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("m", "tid", "start", "length", "anchor")).alias("r"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            offsets, data = buffers(b.column(1))
+            keys, lists_ = b.column(0).to_numpy(), b.column(2)
+            for i, j in pieces(offsets):
+                c = split(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], i) if not scheme.bytes else None
+                text = data[offsets[i] : offsets[j]].tobytes()
+                edges = offsets[i : j + 1] - offsets[i] if scheme.bytes else c.words
+                flat = lists_.slice(i, j - i).flatten()
+                m, tid, start, length, anchor = (flat.field(k) for k in range(5))
+                per = np.diff(lists_.offsets.to_numpy()[i : j + 1])
+                begin = start.to_numpy() + np.repeat(edges[:-1], per)
+                yield pa.RecordBatch.from_arrays(
+                    [m, tid, pa.array(np.repeat(keys[i:j], per)), start, length, anchor, pa.array(slices(c, text, begin, begin + length.to_numpy(), scheme), pa.binary())],
+                    ["m", "tid", "key", "start", "length", "anchor", "content"],
+                )
+
+    kind = "m long, tid long, key long, start long, length int, anchor int, content binary"
+    return docs.join(lists, "key").select("key", "text", "r").mapInArrow(run, kind)
+
+
+def slices(c: Chunk | None, text: bytes, begin: np.ndarray, end: np.ndarray, scheme: Scheme) -> list[bytes]:
+    """Units from begin to end: bytes, or words joined by one space."""
+    if scheme.bytes:
+        return [text[i:j] for i, j in zip(begin, end, strict=True)]
+    lo, hi = c.starts[begin], c.ends[end - 1]
+    # words one byte apart and by a space need no joining
+    tidy = np.concatenate([[0], np.cumsum((c.starts[1:] - c.ends[:-1] != 1) | (c.data[c.ends[:-1]] != 0x20))])
+    clean = tidy[end - 1] == tidy[begin]
+    return [text[i:j] if ok else b" ".join(text[i:j].split()) for i, j, ok in zip(lo, hi, clean, strict=True)]
 
 
 def cut(w: Windows, keys: np.ndarray, cool: pa.Array, hot: pa.Array, scheme: Scheme) -> Iterator[pa.RecordBatch]:
     """The regions of a chunk, given the repeated grams of each of its texts."""
+    if not len(w.at):
+        return
+    # runs of windows that name one gram; a run is looked up, not each window
+    new = np.ones(len(w.at), bool)
+    new[1:] = (w.least[1:] != w.least[:-1]) | (w.at[1:] != w.at[:-1] + 1)
+    runs = np.flatnonzero(new)
+    of = np.searchsorted(w.edges, w.at[runs], "right") - 1
     texts = len(w.edges) - 1
-    of = w.text()
-    candidate, single = np.zeros(len(w.at), bool), np.zeros(len(w.at), bool)
-    bounds = np.searchsorted(of, np.arange(texts + 1))
-    for k in range(texts):
-        i, j = bounds[k], bounds[k + 1]
-        if i == j:
-            continue
-        for held, mark in ((cool, candidate), (hot, single)):
-            g = held[w.chunk.first + k].values
-            if len(g):
-                mark[i:j] = np.isin(w.least[i:j], g.to_numpy().view(np.uint64))
-    candidate |= single
-    pick = np.flatnonzero(candidate)
+    wanted = (of.astype(np.uint64) << np.uint64(32)) | w.least[runs]
+
+    def among(lists: pa.Array) -> np.ndarray:
+        own = lists.slice(w.chunk.first, texts)
+        per = np.diff(own.offsets.to_numpy())
+        held = (np.repeat(np.arange(texts, dtype=np.uint64), per) << np.uint64(32)) | own.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+        held.sort()
+        return held[np.minimum(np.searchsorted(held, wanted), len(held) - 1)] == wanted if len(held) else np.zeros(len(wanted), bool)
+
+    single = among(hot)
+    candidate = among(cool) | single
+    lengths = np.diff(np.append(runs, len(w.at)))
+    pick = ragged(runs[candidate], lengths[candidate])
     if not len(pick):
         return
-    at, least, one, of = w.at[pick], w.least[pick], single[pick], of[pick]
+    at, least, one, of = w.at[pick], w.least[pick], np.repeat(single[candidate], lengths[candidate]), np.repeat(of[candidate], lengths[candidate])
     named = w.named()
     # the first place of the gram in each window
     j = np.searchsorted(named, at)
@@ -177,23 +225,10 @@ def cut(w: Windows, keys: np.ndarray, cool: pa.Array, hot: pa.Array, scheme: Sch
     last = np.append(first[1:], len(at)) - 1
     begin, end = at[first], at[last] + scheme.window
     c = w.chunk
-    text = c.data.tobytes()
-    if scheme.bytes:
-        content = [text[i:j] for i, j in zip(begin, end, strict=True)]
-    else:
-        lo, hi = c.starts[begin], c.ends[end - 1]
-        # words one byte apart and by a space need no joining
-        tidy = np.concatenate([[0], np.cumsum((c.starts[1:] - c.ends[:-1] != 1) | (c.data[c.ends[:-1]] != 0x20))])
-        clean = tidy[end - 1] == tidy[begin]
-        content = [text[i:j] if ok else b" ".join(text[i:j].split()) for i, j, ok in zip(lo, hi, clean, strict=True)]
-    tid = [xxhash.xxh3_128_digest(x) for x in content]
-    m = least[first].view(np.int64).copy()
-    for k in np.flatnonzero(one[first]):
-        m[k] = int.from_bytes(tid[k][:8], "little", signed=True)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(m), pa.array(keys[c.first + of[first]], pa.int64()), pa.array(begin - w.edges[of[first]], pa.int64()), pa.array(place[first] - begin, pa.int32()), pa.array(tid, pa.binary()), pa.array(content, pa.binary())],
-        ["m", "key", "start", "anchor", "tid", "content"],
-    )
+    tid = np.array([xxhash.xxh3_64_intdigest(x) for x in slices(c, c.data.tobytes(), begin, end, scheme)], np.uint64).view(np.int64)
+    m = np.where(one[first], tid, least[first].astype(np.int64))
+    columns = [m, tid, keys[c.first + of[first]], begin - w.edges[of[first]], (end - begin).astype(np.int32), (place[first] - begin).astype(np.int32)]
+    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["m", "tid", "key", "start", "length", "anchor"])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import SPACE, drop_stored, stored
-from tallyloom.llm.regions import Scheme, merged, regions, with_keys
+from tallyloom.llm.regions import Scheme, contents, regions, with_keys
 from tallyloom.llm.words import chunks
 
 #: Words of a gram that names windows.
@@ -100,10 +100,10 @@ class SuffixAutomaton:
 
 def first_places(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Batches (m, tid, content, key, start) sorted by m, one row per distinct region with its first place. For runs of its
-    windows, the first place of the like: tid, i (first window of the run), length, key, start."""
+    windows, the first place of the like: m, tid, i (first window of the run), length, key, start."""
     out: list[tuple] = []
 
-    def shard(held: list[tuple]) -> None:
+    def shard(m: int, held: list[tuple]) -> None:
         ids: dict[bytes, int] = {}
         sequences = [[ids.setdefault(w, len(ids)) for w in content.split()] for _, content, _, _ in held]
         automaton = SuffixAutomaton()
@@ -114,47 +114,49 @@ def first_places(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Recor
             run = None
             for at, (key, end) in automaton.matches(seq, n):
                 i, first = at - n + 1, end - n + 1
-                if run and run[1] + run[2] == i and run[3] == key and run[4] + run[2] == first:
-                    run[2] += 1
+                if run and run[2] + run[3] == i and run[4] == key and run[5] + run[3] == first:
+                    run[3] += 1
                 else:
                     if run:
                         out.append(tuple(run))
-                    run = [tid, i, 1, key, first]
+                    run = [m, tid, i, 1, key, first]
             if run:
                 out.append(tuple(run))
 
     def batch() -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) or [()] * 5
+        cols = list(zip(*out, strict=True)) or [()] * 6
         out.clear()
-        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["tid", "i", "length", "key", "start"])
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["m", "tid", "i", "length", "key", "start"])
 
     now, held = None, []
     for b in batches:
         for m, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if m != now and held:
-                shard(held)
+                shard(now, held)
                 held = []
             now = m
             held.append(row)
         if len(out) > 20_000:
             yield batch()
     if held:
-        shard(held)
+        shard(now, held)
     yield batch()
 
 
 def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     """docs: key, text. key and spans (arrays of start and end word) covered by windows that also start earlier."""
-    found = stored(regions(docs, Scheme(False, window, min(GRAM, window))))
-    distinct = found.groupBy("m", "tid", "content").agg(F.min(F.struct("key", "start")).alias("f"))
-    ranked = distinct.select("m", "tid", "content", "f.key", "f.start").repartition("m").sortWithinPartitions("m", "key", "start")
-    places = ranked.mapInArrow(lambda it: first_places(it, window), "tid binary, i int, length int, key long, start long")
-    members = found.select("tid", F.col("key").alias("own"), F.col("start").alias("at"))
-    later = members.join(places, "tid").where((F.col("key") < F.col("own")) | ((F.col("key") == F.col("own")) & (F.col("start") < F.col("at") + F.col("i"))))
+    scheme = Scheme(False, window, min(GRAM, window))
+    found = regions(docs, scheme)
+    firsts = found.groupBy("m", "tid").agg(F.min(F.struct("key", "start")).alias("f"), F.first("length").alias("length"), F.first("anchor").alias("anchor"))
+    distinct = contents(docs, firsts.select("m", "tid", "f.key", "f.start", "length", "anchor"), scheme)
+    ranked = distinct.select("m", "tid", "content", "key", "start").repartition("m").sortWithinPartitions("m", "key", "start")
+    places = stored(ranked.mapInArrow(lambda it: first_places(it, window), "m long, tid long, i int, length int, key long, start long"))
+    members = found.select("m", "tid", F.col("key").alias("own"), F.col("start").alias("at"))
+    later = members.join(places, ["m", "tid"]).where((F.col("key") < F.col("own")) | ((F.col("key") == F.col("own")) & (F.col("start") < F.col("at") + F.col("i"))))
     span = F.struct((F.col("at") + F.col("i")).alias("s"), (F.col("at") + F.col("i") + F.col("length") - 1 + window).alias("e"))
     out = stored(later.groupBy(F.col("own").alias("key")).agg(F.collect_set(span).alias("spans")))
-    drop_stored(found)
+    drop_stored(found, places)
     return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import drop_stored, stored
-from tallyloom.llm.regions import Scheme, merged, regions, with_keys
+from tallyloom.llm.regions import Scheme, contents, merged, regions, with_keys
 
 #: Bytes of a gram that names windows.
 GRAM = 16
@@ -112,42 +113,61 @@ def merge(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
 
 
 def covered(group: list[tuple], window: int) -> Iterator[tuple[bytes, int, int]]:
-    """Of regions with one gram, in order of the suffix from it on (shared, suffix, reversed left, name, copies; shared and suffix
-    with 8 bytes before): name and ranges (first, last) of the windows whose bytes occur elsewhere too.
+    """Of distinct regions with one gram, in order of the suffix from it on (shared, suffix, reversed left, name, copies; shared and
+    suffix with 8 bytes before): name and ranges (first, last) of the windows whose bytes occur in another of them too.
 
-    A neighbour in order shares the least of the prefixes up to it, and of the left contexts what they have in common; those
-    further off share no more to the right, so the search ends once all the left context is shared.
+    Regions with equal suffixes form a class, sorted by left context, where the best match to the left is beside a region.
+    Classes further off share ever less to the right, so the search ends when that is too little or all the left is matched.
     """
-    for k, (_, suffix, left, tid, n) in enumerate(group):
-        last = len(left) + len(suffix) - 8 - window
-        if n > 1:
-            yield tid, 0, last
-            continue
-        found = []
-        for way in (1, -1):
-            right, best, j = len(suffix) - 8, -1, k
-            while 0 <= j + way < len(group):
-                right = min(right, group[j + 1][0] - 8 if way > 0 else group[j][0] - 8)
-                if right + len(left) < window:
-                    break
-                j += way
-                same = common_prefix(left, group[j][2])
-                if same > best:
-                    best = same
-                    i, e = max(0, len(left) - same), min(last, len(left) + right - window)
-                    if i <= e:
-                        found.append((i, e + 1))
-                    if same == len(left):
+    classes: list[tuple[int, bytes, list[tuple[bytes, bytes]]]] = []
+    for shared, suffix, left, tid, _ in group:
+        if classes and classes[-1][1] == suffix:
+            classes[-1][2].append((left, tid))
+        else:
+            classes.append((shared - 8, suffix, [(left, tid)]))
+    for _, _, members in classes:
+        members.sort()
+    for k, (_, suffix, members) in enumerate(classes):
+        size = len(suffix) - 8
+        for x, (left, tid) in enumerate(members):
+            last, best, found = len(left) + size - window, -1, []
+
+            def use(same: int, right: int, left=left, last=last, found=found) -> None:
+                i, e = max(0, len(left) - same), min(last, len(left) + right - window)
+                if i <= e:
+                    found.append((i, e + 1))
+
+            for y in (x - 1, x + 1):
+                if 0 <= y < len(members):
+                    best = max(best, common_prefix(left, members[y][0]))
+            if best >= 0:
+                use(best, size)
+            own = best
+            for way in (1, -1):
+                right, best, j = size, own, k
+                while best < len(left) and 0 <= j + way < len(classes):
+                    right = min(right, classes[j + 1][0] if way > 0 else classes[j][0])
+                    if right + len(left) < window:
                         break
-        for i, e in merged(found):
-            yield tid, i, e - 1
+                    j += way
+                    there = classes[j][2]
+                    at = bisect(there, (left,))
+                    same = max(common_prefix(left, there[y][0]) for y in (at - 1, at) if 0 <= y < len(there))
+                    if same > best:
+                        best = same
+                        use(same, right)
+            for i, e in merged(found):
+                yield tid, i, e - 1
 
 
 def repeated_bytes(docs: DataFrame, window: int) -> DataFrame:
     """docs: key, text. key and spans (arrays of start and end byte) covered by strings of `window` bytes that occur elsewhere too."""
-    found = stored(regions(docs, Scheme(True, window, min(GRAM, window))))
-    distinct = stored(found.groupBy("m", "tid", "content", "anchor").agg(F.count("*").alias("n")))
-    parts = max(1, -(-distinct.count() // PART))
+    scheme = Scheme(True, window, min(GRAM, window))
+    found = regions(docs, scheme)
+    once = stored(found.groupBy("m", "tid").agg(F.min(F.struct("key", "start")).alias("f"), F.first("length").alias("length"), F.first("anchor").alias("anchor"), F.count("*").alias("n")))
+    parts = max(1, -(-once.count() // PART))
+    distinct = contents(docs, once.select("m", "tid", "f.key", "f.start", "length", "anchor"), scheme)
+    several = once.where("n > 1").select("m", "tid", F.lit(0).alias("i"), (F.col("length") - window).alias("e"))
 
     def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = defaultdict(list)
@@ -161,8 +181,8 @@ def repeated_bytes(docs: DataFrame, window: int) -> DataFrame:
             held.clear()
 
         for b in batches:
-            for m, tid, content, anchor, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held[m % parts].append((struct.pack(">q", m) + content[anchor:], content[:anchor][::-1], tid, n))
+            for m, tid, content, anchor in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held[m % parts].append((struct.pack(">q", m) + content[anchor:], content[:anchor][::-1], struct.pack(">qq", m, tid), 1))
                 size += 1
                 if size >= RUN:
                     yield from flush()
@@ -177,9 +197,10 @@ def repeated_bytes(docs: DataFrame, window: int) -> DataFrame:
         out: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) or [()] * 3
+            rows = [(*struct.unpack(">qq", name), i, e) for name, i, e in out]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int32(), pa.int32()), strict=True)], ["tid", "i", "e"])
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["m", "tid", "i", "e"])
 
         for part in sorted(held):
             group: list[tuple] = []
@@ -194,11 +215,11 @@ def repeated_bytes(docs: DataFrame, window: int) -> DataFrame:
             out += covered(group, window)
         yield batch()
 
-    runs = distinct.select("m", "tid", "content", "anchor", "n").mapInArrow(sorted_runs, "part int, run long, block int, data binary")
-    ranges = runs.repartition(parts, "part").mapInArrow(merged_runs, "tid binary, i int, e int")
+    runs = distinct.select("m", "tid", "content", "anchor").mapInArrow(sorted_runs, "part int, run long, block int, data binary")
+    ranges = runs.repartition(parts, "part").mapInArrow(merged_runs, "m long, tid long, i int, e int").unionByName(several)
     span = F.struct((F.col("start") + F.col("i")).alias("s"), (F.col("start") + F.col("e") + window).alias("e"))
-    out = stored(found.select("tid", "key", "start").join(ranges, "tid").groupBy("key").agg(F.collect_set(span).alias("spans")))
-    drop_stored(found, distinct)
+    out = stored(found.select("m", "tid", "key", "start").join(ranges, ["m", "tid"]).groupBy("key").agg(F.collect_set(span).alias("spans")))
+    drop_stored(found, once)
     return out
 
 
