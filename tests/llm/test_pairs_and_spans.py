@@ -84,6 +84,19 @@ def test_classes(spark, width, num, frequent):
     assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == expected_classes(rows, width, num, 100)
 
 
+def test_classes_of_pairs_with_appended_text(spark):
+    r, rows, new = random.Random(8), [], iter(range(10**9))
+    for i in range(0, 600, 2):  # isolated pairs, of J from just below the threshold to 0.85
+        w = [f"t{next(new)}" for _ in range(r.randrange(60, 300))]
+        more = [f"t{next(new)}" for _ in range(int((len(w) - 4) * (100 / r.uniform(79.5, 85) - 1)))]
+        at = r.choice([0, len(w), len(w)])
+        rows += [(i, " ".join(w)), (i + 1, " ".join(w[:at] + more + w[at:]))]
+    want = expected_classes(rows, 5, 80, 100)
+    assert sum(k != c for k, _, c in want) > 200
+    got = jaccard.classes(docs(spark, rows), 5, 80, 100)
+    assert sorted(tuple(x) for x in got.select("doc_id", "n_shingles", "component_id").collect()) == want
+
+
 def test_classes_of_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "q r s t u"), (None, None), (7, "x"), (3, "X")]
     got = sorted(((r.doc_id, r.component_id) for r in jaccard.classes(docs(spark, rows)).collect()), key=str)
