@@ -251,12 +251,12 @@ def unwrapped(t: Tables) -> DataFrame:
 
 @query("TXT15_normal_form")
 def forms(t: Tables) -> DataFrame:
-    return t.documents.groupBy(M.normal_form_udf()(F.substring("text", 1, 200)).alias("form")).agg(F.count("*").alias("n"))
+    return t.documents.groupBy(M.normal_form_udf()("text").alias("form")).agg(F.count("*").alias("n"))
 
 
 @query("TXT27_TXT28_windows")
 def phrase_windows(t: Tables) -> DataFrame:
-    w = t.documents.select("doc_id", F.explode(M.windows_udf(40)(F.substring("text", 1, 400))).alias("w"))
+    w = t.documents.select("doc_id", F.explode(M.windows_udf(40)("text")).alias("w"))
     return w.select("doc_id", "w.start", "w.end")
 
 
@@ -269,7 +269,7 @@ def seeds(t: Tables) -> DataFrame:
 @query("TXT46_CMP46_span_edits")
 def edits(t: Tables) -> DataFrame:
     spans = F.array(F.struct(F.lit(5).alias("start"), F.lit(9).alias("end"), F.lit("<A>").alias("put")), F.struct(F.lit(7).alias("start"), F.lit(12).alias("end"), F.lit("<B>").alias("put")), F.struct(F.lit(12).alias("start"), F.lit(12).alias("end"), F.lit("<C>").alias("put")))
-    return t.documents.select("doc_id", M.apply_edits(F.substring("text", 1, 40), spans).alias("text"))
+    return t.documents.select("doc_id", M.apply_edits(F.col("text"), spans).alias("text"))
 
 
 @query("CMP12_CMP13_weighted_shares", "select lang, round(sum(n_chars) filter (doc_id % 4 = 0) / sum(n_chars), 9) as share, sum(n_chars)::bigint as characters from documents group by 1")
