@@ -1,5 +1,7 @@
 """Registered queries over texts and tables that a prefix or a range of ids would cut."""
 
+from collections import Counter
+
 import pytest
 
 import __spark_entry__ as entry
@@ -37,3 +39,11 @@ def test_edits_keep_the_rest(run):
 
 def test_late_thai(run):
     assert run("TXT14_thai", documents=documents(WORDS + "\u0e01\u0e48")) == [(1, True, 2)]
+
+
+def test_customers_of_all_ids(run):
+    customers = [(i, i % 7) for i in range(1, 1000, 3)] + [(None, 1)]
+    suppliers = [(i, i * i % 11) for i in range(1, 120)]
+    pairs = Counter((min(a, b), max(a, b)) for i, a in customers for k, b in suppliers if i is not None and i % 50 == k % 50)
+    got = run("WRK8_WRK12_CMP25_selection_audit", customer=(customers, "c_custkey long, c_nationkey int"), supplier=(suppliers, "s_suppkey long, s_nationkey int"))
+    assert sorted(got) == sorted((a, b, n) for (a, b), n in pairs.items() if n > 1)
