@@ -100,7 +100,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, share: float = SHAR
     rows = rows.where((norm > 0) & (norm < float("inf")))
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     schema = "query_id long, rank int, vec_id long, score double"
-    if length is None or length["n"] < 2:
+    if length is None:
         return spark.createDataFrame([], schema)
     rows = stored(rows.where(F.size("v") == length["n"]))
     small = Window.partitionBy("v").orderBy("id")
@@ -112,9 +112,9 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, share: float = SHAR
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(books.cells(units(matrix(b.column(1)))) if len(b) else [], pa.int32())], ["entry", "v", "cell"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(books.cells(units(matrix(b.column(1)))) if len(b) else [], pa.int32())], ["entry", "v", "least", "cell"])
 
-    index = stored(entries.select("entry", "v").mapInArrow(encode, "entry long, v array<double>, cell int"))
+    index = stored(entries.select("entry", "v", F.element_at("ids", 1).alias("least")).mapInArrow(encode, "entry long, v array<double>, least long, cell int"))
     sizes = np.zeros(cells, np.int64)
     for r in index.groupBy("cell").count().collect():  # as many rows as cells
         sizes[r["cell"]] = r["count"]
@@ -151,25 +151,31 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, share: float = SHAR
     cut_of = F.create_map(*[x for c in np.flatnonzero(cuts > 1) for x in (F.lit(int(c)), F.lit(int(cuts[c])))]) if (cuts > 1).any() else None
     start = F.element_at(F.array(*map(F.lit, first.tolist())), F.col("cell") + 1)
     part = F.pmod(F.xxhash64("entry"), F.coalesce(cut_of[F.col("cell")], F.lit(1)).cast("long")).cast("int") if cut_of is not None else F.lit(0)
-    dealt = index.select("entry", "v", "cell", (start + part).cast("int").alias("block"))
+    dealt = index.select("entry", "v", "least", "cell", (start + part).cast("int").alias("block"))
     groups = max(1, -(-queries.count() // QUERIES))
     probes = queries.mapInArrow(probe, "entry long, v array<double>, block int, cells array<int>").withColumn("g", F.pmod(F.xxhash64("entry"), F.lit(groups)).cast("int"))
     dealt = dealt.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Of one block, the best k + 1 entries of each query, by exact scores."""
+        """Of one block, the best k + 1 entries of each query, by exact scores and then the smallest id.
+
+        Exact scores are made for all entries that rounding of the product may have put below the best k + 1.
+        """
         none = pd.DataFrame({"query": pd.Series([], dtype="int64"), "entry": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
         if not len(left) or not len(right):
             return none
         x, q = np.stack(right["v"].to_numpy()), np.stack(left["v"].to_numpy())
-        ids, cell = right["entry"].to_numpy(), right["cell"].to_numpy()
+        ids, least_id, cell = right["entry"].to_numpy(), right["least"].to_numpy(), right["cell"].to_numpy()
+        bound = 8 * (x.shape[1] + 8) * np.finfo(np.float64).eps
         ux, uq, out = units(x), units(q), []
         for i in range(len(left)):
             rows_ = np.flatnonzero(np.isin(cell, left["cells"].iloc[i]))
             s = ux[rows_] @ uq[i]
-            best = min(len(rows_), 2 * k + 8)
-            top = rows_[np.argpartition(-s, best - 1)[:best]] if best else rows_[:0]
-            out.append(pd.DataFrame({"query": left["entry"].iloc[i], "entry": ids[top], "score": [math.fsum(q[i] * x[t]) / (math.sqrt(math.fsum(q[i] ** 2)) * math.sqrt(math.fsum(x[t] ** 2))) for t in top]}))
+            if len(rows_) > k + 1:
+                rows_ = rows_[s >= np.partition(s, -(k + 1))[-(k + 1)] - bound]
+            score = np.array([math.fsum(q[i] * x[t]) / (math.sqrt(math.fsum(q[i] ** 2)) * math.sqrt(math.fsum(x[t] ** 2))) for t in rows_], np.float64)
+            top = np.lexsort((least_id[rows_], -score))[: k + 1]
+            out.append(pd.DataFrame({"query": left["entry"].iloc[i], "entry": ids[rows_[top]], "score": score[top]}))
         return pd.concat(out) if out else none
 
     scores = probes.groupBy("g", "block").cogroup(dealt.groupBy("g", "block")).applyInPandas(rerank, "query long, entry long, score double")

@@ -80,6 +80,14 @@ def test_neighbours(spark):
     assert [i for i, _ in neighbours(spark, [(0, [1.0, 2.0], 1, 1), (3, [2.0, 1.0], 1, 1)])[0]] == [3]
 
 
+def test_neighbours_of_one_direction(spark):
+    copies = [(i, [2.0 ** (i * 7 % 41 - 20), 2.0 ** (i * 7 % 41 - 20), 0.0], 1, 2) for i in range(1, 41)]  # scores are equal
+    found = neighbours(spark, [*copies, (100, [1.0, 0.5, 0.25], 1, 2), (150, [0.0, 0.0, -1.0], 1, 2)], share=1.0)
+    assert [i for i, _ in found[100]] == [1, 2, 3, 4, 5]
+    single = neighbours(spark, [(0, [2.0], 1, 2), (1, [-1.0], 1, 2), (2, [3.0], 1, 2), (3, [5.0], 1, 2)], k=2, share=1.0)
+    assert [(i, round(v, 12)) for i, v in single[0]] == [(2, 1.0), (3, 1.0)]
+
+
 def test_quality(spark):
     rows, labels = corpus()
     table = spark.createDataFrame(labels + [(3, None), (None, 1)], "doc_id long, quality int").withColumn("toxic", F.lit(0))
