@@ -64,3 +64,21 @@ def test_loops():
     assert K.strip_repeats("ab12" * 10 + "end") == "ab12end"
     assert K.cut_at_loop("ab12" * 10 + "end", 8, 6) == "ab12"
     assert K.banned_tokens([1, 2, 3, 1, 2], 3, 10) == [3] and K.banned_tokens([1, 2, 3, 1, 2], 3, 10, frozenset([3])) == []
+
+
+def test_long_texts_are_aligned(spark):
+    r = random.Random(6)
+    a = "".join(r.choice("abก่") for _ in range(2100))
+    b = "".join(c for c in a if r.random() > 0.02) + "b"
+    t = spark.createDataFrame([(a, b, "cc" + a + "cc")], "a string, b string, c string")
+    got = t.select(K.component_errors_udf()("a", "b").alias("e"), K.mark_counts_udf()("a", "b").alias("m"), K.anchored_udf()("a", "c").alias("x"), K.window_udf()("a", "c").alias("w")).first()
+    assert sum(got.e) == plain(a, b) and None not in got.m
+    assert tuple(got.x) == tuple(got.w) == (0, 2, 2102)
+
+
+@pytest.mark.parametrize("cells", [0, 40])
+def test_rows_made_again_give_the_same_alignment(monkeypatch, cells):
+    pairs = CASES + list(zip(some(7, 200), some(8, 200), strict=True))
+    whole = [(K.align(a, b), K.align_anchored(a, b), K.best_window(a, b)) for a, b in pairs]
+    monkeypatch.setattr(K, "MOST_CELLS", cells)
+    assert [(K.align(a, b), K.align_anchored(a, b), K.best_window(a, b)) for a, b in pairs] == whole
