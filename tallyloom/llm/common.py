@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -34,8 +35,10 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyloom/{uuid.uuid4().hex}"
+    begun = time.monotonic()
     df.write.option("compression", codec).parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the plan that has just ended
+    if time.monotonic() - begun > 2:
+        spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the plan that has just ended
     _kept.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path

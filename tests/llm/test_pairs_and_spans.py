@@ -97,6 +97,35 @@ def test_classes_of_pairs_with_appended_text(spark):
     assert sorted(tuple(x) for x in got.select("doc_id", "n_shingles", "component_id").collect()) == want
 
 
+@pytest.mark.parametrize(("short", "rounds"), [(2, 0), (3, 5)])
+def test_classes_of_families(spark, short, rounds):
+    r, rows = random.Random(short + rounds), []
+    word = lambda: f"f{r.randrange(10**7)}"
+    for f in range(4):  # families of near copies: edits from a base, and from versions of it with another passage
+        base = [word() for _ in range(120)]
+        versions = [base, base[:30] + [word() for _ in range(25)] + base[55:], base[:80] + [word() for _ in range(25)] + base[105:]]
+        for i in range(45):
+            w = list(versions[i % 3])
+            for _ in range(r.randrange(5)):
+                at = r.randrange(len(w))
+                w[at : at + r.randrange(2)] = [r.choice([word(), f"e{r.randrange(5)}"])] * r.randrange(3)
+            rows.append((1000 * f + i, " ".join(w)))
+    want = expected_classes(rows, 3, 90, 100)
+    got = jaccard.classes(docs(spark, rows), 3, 90, 100, frequent=4, short=short, rounds=rounds)
+    assert sorted(tuple(x) for x in got.select("doc_id", "n_shingles", "component_id").collect()) == want
+    assert 20 < len({c for _, _, c in want}) < 170
+
+
+def test_pairs_of_differences():
+    """Sets of one size link as their differences to a pivot tell."""
+    r = random.Random(4)
+    pivot = set(range(100))
+    for _ in range(2000):
+        x, y = ((pivot - set(r.sample(range(100), r.randrange(9)))) | set(r.sample(range(100, 112), r.randrange(9))) for _ in range(2))
+        dx, dy = x ^ pivot, y ^ pivot
+        assert (len(x & y) * 100 >= len(x | y) * 90) == (len(dx) * 190 - len(x) * 10 + len(dy) * 190 - len(y) * 10 <= 380 * len(dx & dy))
+
+
 def test_classes_of_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "q r s t u"), (None, None), (7, "x"), (3, "X")]
     got = sorted(((r.doc_id, r.component_id) for r in jaccard.classes(docs(spark, rows)).collect()), key=str)
