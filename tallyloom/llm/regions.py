@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import drop_stored, rolling, stored
+from tallyloom.llm.common import bucketed, drop_stored, rolling, stored
 from tallyloom.llm.words import BYTES, Chunk, buffers, pieces, ragged, split
 
 #: Places that name a gram beyond which its windows are dealt one by one, by a hash of their whole content; of words and bytes.
@@ -42,14 +42,15 @@ class Scheme:
 def with_keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
     """key and text of each row, and a table of key and doc_id where the ids themselves won't do.
 
-    Keys rise with ids. Where ids are null or repeat, rows are sorted by id (nulls last) and text, and numbered.
+    Keys rise with ids. Where ids are null or repeat, rows are sorted by id (nulls last) and text, and numbered. Texts are dealt
+    by key once, so that the joins that follow move lists of places to them, and no text again.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     good = base.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
     if (good["n"] or 1) == 1 and not good["none"]:
-        return base.withColumnRenamed("doc_id", "key"), None
+        return bucketed(base.withColumnRenamed("doc_id", "key"), "key"), None
     rows = stored(base.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).withColumn("key", F.monotonically_increasing_id()))
-    return rows.select("key", "text"), rows.select("key", "doc_id")
+    return bucketed(rows.select("key", "text"), "key"), rows.select("key", "doc_id")
 
 
 def sliding(x: np.ndarray, w: int, best: np.ufunc) -> np.ndarray:

@@ -20,7 +20,7 @@ GRAM = 16
 #: Suffixes of a run, and of one of its blocks.
 RUN, BLOCK = 50_000, 512
 #: Distinct regions that one merge should hold at most, on average.
-PART = 100_000
+PART = 20_000
 
 _HEAD = struct.Struct("<HHHI")
 
