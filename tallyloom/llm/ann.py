@@ -7,7 +7,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,8 +17,8 @@ from tallyloom.llm.common import stored
 CENTROIDS, FIT_ROWS, FIT_STEPS = 32, 10_000, 12
 #: A query's cells are taken in order of summed distance until they hold this share of all vectors, or this many.
 SHARE, LEAST = 0.6, 2000
-#: Vectors of a block of cells, and queries that are held against a block at a time.
-BLOCK, QUERIES = 20_000, 2048
+#: Vectors of a block of cells.
+BLOCK = 20_000
 
 
 def fit_half(x: np.ndarray, k: int, steps: int = FIT_STEPS) -> np.ndarray:
@@ -152,33 +151,50 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, share: float = SHAR
     start = F.element_at(F.array(*map(F.lit, first.tolist())), F.col("cell") + 1)
     part = F.pmod(F.xxhash64("entry"), F.coalesce(cut_of[F.col("cell")], F.lit(1)).cast("long")).cast("int") if cut_of is not None else F.lit(0)
     dealt = index.select("entry", "v", "least", "cell", (start + part).cast("int").alias("block"))
-    groups = max(1, -(-queries.count() // QUERIES))
-    probes = queries.mapInArrow(probe, "entry long, v array<double>, block int, cells array<int>").withColumn("g", F.pmod(F.xxhash64("entry"), F.lit(groups)).cast("int"))
-    dealt = dealt.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    probes = queries.mapInArrow(probe, "entry long, v array<double>, block int, cells array<int>")
 
-    def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Of one block, the best k + 1 entries of each query, by exact scores and then the smallest id.
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches (block, asks, entry, v, least, cell, cells) in order of block, its entries before its queries, which are streamed
+        against them. The best k + 1 entries of each query, by exact scores and then the smallest id.
 
         Exact scores are made for all entries that rounding of the product may have put below the best k + 1.
         """
-        none = pd.DataFrame({"query": pd.Series([], dtype="int64"), "entry": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-        if not len(left) or not len(right):
-            return none
-        x, q = np.stack(right["v"].to_numpy()), np.stack(left["v"].to_numpy())
-        ids, least_id, cell = right["entry"].to_numpy(), right["least"].to_numpy(), right["cell"].to_numpy()
-        bound = 8 * (x.shape[1] + 8) * np.finfo(np.float64).eps
-        ux, uq, out = units(x), units(q), []
-        for i in range(len(left)):
-            rows_ = np.flatnonzero(np.isin(cell, left["cells"].iloc[i]))
-            s = ux[rows_] @ uq[i]
-            if len(rows_) > k + 1:
-                rows_ = rows_[s >= np.partition(s, -(k + 1))[-(k + 1)] - bound]
-            score = np.array([math.fsum(q[i] * x[t]) / (math.sqrt(math.fsum(q[i] ** 2)) * math.sqrt(math.fsum(x[t] ** 2))) for t in rows_], np.float64)
-            top = np.lexsort((least_id[rows_], -score))[: k + 1]
-            out.append(pd.DataFrame({"query": left["entry"].iloc[i], "entry": ids[rows_[top]], "score": score[top]}))
-        return pd.concat(out) if out else none
-
-    scores = probes.groupBy("g", "block").cogroup(dealt.groupBy("g", "block")).applyInPandas(rerank, "query long, entry long, score double")
+        now, parts, held = None, [], None
+        for b in batches:
+            block, asks = b.column(0).to_numpy(), b.column(1).to_numpy()
+            edges = np.flatnonzero((np.diff(block) != 0) | (np.diff(asks) != 0)) + 1
+            for i, j in zip([0, *edges], [*edges, len(block)], strict=True):
+                if i == j:
+                    continue
+                if block[i] != now:
+                    now, parts, held = block[i], [], None
+                part = b.slice(i, j - i)
+                if not asks[i]:
+                    parts.append((matrix(part.column(3)), *(part.column(c).to_numpy() for c in (2, 4, 5))))
+                    continue
+                if not parts:
+                    continue
+                if held is None:
+                    held = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                    held.append(units(held[0]))
+                x, ids, least_id, cell, ux = held
+                bound = 8 * (x.shape[1] + 8) * np.finfo(np.float64).eps
+                q, found = matrix(part.column(3)), []
+                uq = units(q)
+                for r, cells_ in enumerate(part.column(6).to_pylist()):
+                    rows_ = np.flatnonzero(np.isin(cell, cells_))
+                    s = ux[rows_] @ uq[r]
+                    if len(rows_) > k + 1:
+                        rows_ = rows_[s >= np.partition(s, -(k + 1))[-(k + 1)] - bound]
+                    score = np.array([math.fsum(q[r] * x[t]) / (math.sqrt(math.fsum(q[r] ** 2)) * math.sqrt(math.fsum(x[t] ** 2))) for t in rows_], np.float64)
+                    top = np.lexsort((least_id[rows_], -score))[: k + 1]
+                    found.append((np.full(len(top), part.column(2)[r].as_py()), ids[rows_[top]], score[top]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query", "entry", "score"])
+
+    none = F.lit(None)
+    both = dealt.select("block", F.lit(0).alias("asks"), "entry", "v", "least", "cell", none.cast("array<int>").alias("cells"))
+    both = both.unionByName(probes.select("block", F.lit(1).alias("asks"), "entry", "v", none.cast("long").alias("least"), none.cast("int").alias("cell"), "cells"))
+    scores = both.repartition(block + 1, "block").sortWithinPartitions("block", "asks").mapInArrow(rerank, "query long, entry long, score double")
     ids = entries.select("entry", "ids")
     found = scores.join(ids, "entry").select("query", "score", "ids", F.element_at("ids", 1).alias("least"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "least")

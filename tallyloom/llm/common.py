@@ -61,10 +61,10 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
 def drop_stored(*frames: DataFrame) -> None:
     """Delete tables made by stored() that no plan still to run reads."""
     for df in frames:
-        _remove(df.sparkSession, df._stored_at)
+        delete(df.sparkSession, df._stored_at)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -74,7 +74,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def _clean() -> None:
     for spark, path in _kept:
         try:
-            _remove(spark, path)
+            delete(spark, path)
         except Exception:  # noqa: BLE001  the session is gone; the shared folder's owner cleans up
             return
 
@@ -84,6 +84,17 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as keep it apart from all columns of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class WordHashes(dict):
     """64-bit hash of each word (bytes), kept for words seen; emptied when it holds too many."""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import SPACE, broadcast_if_small, stored
+from tallyloom.llm.common import SPACE, broadcast_if_small, stored, unused
 
 
 def normalised(text: Column) -> Column:
@@ -53,12 +53,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The rows that go are few beside the rest, so they are what is joined: by broadcast within a checked size, else by shuffle.
     Rows that repeat both id and text (null ids too) are reduced to one; which one is not defined.
     """
-    gone = stored(exact_groups(docs, id_col, text_col).where(~F.col("kept") & ~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha")))
-    marked = docs.withColumns({"_id0": F.col(id_col).cast("long"), "_sha0": F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256))})
-    out = marked.join(broadcast_if_small(gone, gone.count()), F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_sha0") == F.col("_sha")), "left_anti")
-    twice = stored(docs.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id"))
+    own, own_sha, lost, lost_sha = unused(docs, "_own", "_own_sha", "_lost", "_lost_sha")
+    gone = stored(exact_groups(docs, id_col, text_col).where(~F.col("kept") & ~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias(lost), F.unhex("text_sha256").alias(lost_sha)))
+    marked = docs.withColumns({own: F.col(id_col).cast("long"), own_sha: F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256))})
+    out = marked.join(broadcast_if_small(gone, gone.count()), F.col(own).eqNullSafe(F.col(lost)) & (F.col(own_sha) == F.col(lost_sha)), "left_anti")
+    twice = stored(docs.select(F.col(id_col).cast("long").alias(lost)).groupBy(lost).agg(F.count("*").alias("n")).where("n > 1").select(lost))
     if n := twice.count():
-        again = F.col("_id0").eqNullSafe(F.col("_id"))
+        again = F.col(own).eqNullSafe(F.col(lost))
         few = broadcast_if_small(twice, n)
-        out = out.join(few, again, "left_anti").unionByName(out.join(few, again, "left_semi").dropDuplicates(["_id0", "_sha0"]))
-    return out.drop("_id0", "_sha0")
+        out = out.join(few, again, "left_anti").unionByName(out.join(few, again, "left_semi").dropDuplicates([own, own_sha]))
+    return out.drop(own, own_sha)

@@ -5,12 +5,13 @@ DataFrame and SQL functions only.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import BROADCAST_ROWS, stored
+from tallyloom.llm.common import BROADCAST_ROWS, stored, unused
 
 #: Sweeps over all marginals between two looks at how far they are off, and such looks at most.
 SWEEPS, LOOKS = 6, 10
@@ -76,6 +77,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
             worst = worst.unionByName(x)
         if (worst.agg(F.max("max(off)")).first()[0] or 0.0) < tolerance:
             break
+    else:
+        warnings.warn(f"raked weights are still more than {tolerance} off some target: the targets may exclude each other", stacklevel=2)
     return at.select(*targets, "tokens", "weight")
 
 
@@ -121,16 +124,20 @@ def with_chances(docs: DataFrame, keep: float = 0.8, power: float = 0.7, targets
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 11, **options) -> DataFrame:
-    """The rows of docs that are sampled, with all their columns; no text moves, as the chance of a cell is broadcast."""
+    """The rows of docs that are sampled, with all their columns. No text moves where the cells are few enough to be broadcast.
+
+    Rows with a null id are all sampled by one number, repeated rows alike. Empty table: no rows.
+    """
     marked = with_chances(docs, id_col=id_col, text_col=text_col, seed=seed, **options)
     dims = options.get("dims", ("source", "lang", "topic"))
     cells = stored(marked.select(*dims, "chance").distinct())
     n = tokens(F.col(text_col))
     own = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else topic_by_length(n) for c in dims}
-    cells = cells.select(*(F.col(c).alias(f"_c_{c}") for c in dims), F.col("chance").alias("_chance"))
-    if (k := cells.count()) <= BROADCAST_ROWS:
+    chance, *names = unused(docs, "_chance", *(f"_own_{c}" for c in dims), *(f"_cell_{c}" for c in dims))
+    mine, theirs = names[: len(dims)], names[len(dims) :]
+    cells = cells.select(*(F.col(c).alias(name) for c, name in zip(dims, theirs, strict=True)), F.col("chance").alias(chance))
+    if cells.count() <= BROADCAST_ROWS:
         cells = F.broadcast(cells)
-    del k
-    at = docs.withColumns({f"_d_{c}": v for c, v in own.items()})
-    on = [F.col(f"_d_{c}") == F.col(f"_c_{c}") for c in dims]
-    return at.join(cells, on).where(unit(F.col(id_col).cast("long"), seed) < F.col("_chance")).select(*(at[c] for c in docs.columns))
+    at = docs.withColumns({name: own[c] for c, name in zip(dims, mine, strict=True)})
+    on = [F.col(a) == F.col(b) for a, b in zip(mine, theirs, strict=True)]
+    return at.join(cells, on).where(unit(F.col(id_col).cast("long"), seed) < F.col(chance)).select(*(at[c] for c in docs.columns))

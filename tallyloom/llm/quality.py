@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import broadcast_if_small, stored
+from tallyloom.llm.common import broadcast_if_small, stored, unused
 from tallyloom.llm.words import chunks
 
 #: Labelled rows that are fitted at most: those of least hash. The only bounded sample; everything else covers all rows.
@@ -138,7 +138,8 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are predicted 1, with all their columns."""
-    gone = stored(scored(docs, labels, id_col, text_col).where("predicted = 0").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_th"))
+    """The rows of docs that are predicted 1, with all their columns. Rows with a null id go or stay by their text, repeated rows together."""
+    lost, lost_text = unused(docs, "_lost", "_lost_text")
+    gone = stored(scored(docs, labels, id_col, text_col).where("predicted = 0").select(F.col("doc_id").alias(lost), F.col("th").alias(lost_text)).distinct())
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(lost)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(lost_text))
     return docs.join(broadcast_if_small(gone, gone.count()), same, "left_anti")

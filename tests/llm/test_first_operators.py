@@ -43,6 +43,19 @@ def test_exact_groups(spark, weak):
     assert set(kept.values()) == {1}
 
 
+def test_clashing_names(spark):
+    from tallyloom.llm import jaccard, mixing, quality
+
+    names = ["_id", "_id0", "_sha", "_sha0", "_lost", "_LOST_", "_lost_sha", "_own", "_own_sha", "_chance", "_own_lang", "_cell_lang", "_gone", "_th"]
+    more = docs(spark, ROWS).withColumns({c: F.lit(k) for k, c in enumerate(names)})
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    for keep in (exact_dedup.drop_exact_copies, jaccard.keep_one_of_each, mixing.sample, lambda d: quality.keep_good(d, labels)):
+        plain = sorted(((r.doc_id, r.text) for r in keep(docs(spark, ROWS)).collect()), key=str)
+        got = keep(more)
+        assert got.columns == more.columns
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == plain
+
+
 def test_drop_exact_copies(spark):
     got = exact_dedup.drop_exact_copies(docs(spark, ROWS))
     assert got.columns == docs(spark, ROWS).columns
