@@ -17,9 +17,12 @@ def complete_cases(df: DataFrame, item: str, arm: str, arms: Sequence[str]) -> D
 
 
 def paired(df: DataFrame, item: str, arm: str, base: str, other: str, columns: Sequence[str]) -> DataFrame:
-    """One row per item that has both arms: the columns of each, as base_* and arm_*. One shuffle, no join."""
+    """One row per item that has both arms: the columns of each, as base_* and arm_*. One shuffle, no join. An item with two rows of
+    one arm is refused."""
     picked = [F.max(F.when(F.col(arm) == value, F.struct(*columns))).alias(name) for name, value in (("b", base), ("o", other))]
-    wide = df.where(F.col(arm).isin(base, other)).groupBy(item).agg(*picked).where("b is not null and o is not null")
+    most = F.greatest(F.count_if(F.col(arm) == base), F.count_if(F.col(arm) == other)).alias("most")
+    wide = df.where(F.col(arm).isin(base, other)).groupBy(item).agg(*picked, most)
+    wide = wide.where(F.assert_true(F.col("most") <= 1, F.lit("an item has two rows of one arm")).isNull()).where("b is not null and o is not null")
     return wide.select(item, *(F.col(f"b.{c}").alias(f"base_{c}") for c in columns), *(F.col(f"o.{c}").alias(f"arm_{c}") for c in columns))
 
 
@@ -87,11 +90,17 @@ def latest_before(points: Column, start: Column) -> Column:
     return F.array_max(F.filter(points, lambda p: p <= start))
 
 
-def nearest_representative(rows: DataFrame, representatives: DataFrame, x: str, y: str) -> DataFrame:
-    """Each row with the nearest representative (ordinal, rx, ry), ties to the lower ordinal. The representatives are few by contract and broadcast."""
-    distance = (F.col(x) - F.col("rx")) * (F.col(x) - F.col("rx")) + (F.col(y) - F.col("ry")) * (F.col(y) - F.col("ry"))
-    near = rows.crossJoin(F.broadcast(representatives)).groupBy(*rows.columns).agg(F.min(F.struct(distance.alias("d"), "ordinal")).alias("m"))
-    return near.select(*rows.columns, F.col("m.ordinal").alias("nearest"))
+def nearest_representative(rows: DataFrame, representatives: DataFrame, x: str, y: str, most: int = 10_000) -> DataFrame:
+    """Each row with the nearest representative (ordinal, rx, ry), ties to the lower ordinal; repeated rows are returned each.
+
+    The representatives, at most `most` of them, go to the rows as one array, so that no row is multiplied.
+    """
+    if (n := representatives.count()) > most:
+        raise ValueError(f"{n} representatives are more than {most}")
+    held = F.broadcast(representatives.agg(F.collect_list(F.struct("ordinal", "rx", "ry")).alias("_held")))  # one row
+    square = lambda a, b: (a - b) * (a - b)
+    near = F.array_min(F.transform("_held", lambda r: F.struct((square(F.col(x), r["rx"]) + square(F.col(y), r["ry"])).alias("d"), r["ordinal"].alias("ordinal"))))
+    return rows.join(held).select(*rows.columns, near["ordinal"].alias("nearest"))
 
 
 def pages_of(tiles: DataFrame, page: str, tile: str, text: str, expected: int) -> DataFrame:

@@ -7,25 +7,37 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 
 
-def headroom(ci_low: float, smallest_effect: float) -> str:
-    """How far above the floor an interval lies, in smallest effects of interest."""
-    if ci_low >= 2.5 * smallest_effect:
-        return "ADEQUATE"
-    return "MARGINAL" if ci_low > 0 else "FLOOR_LIMITED"
+def headroom(ci_low: float, smallest_effect: float = 0.10) -> str:
+    """How far above the floor an interval lies, in smallest effects of interest: two of them, one, or less."""
+    if ci_low >= 2 * smallest_effect:
+        return "ADEQUATE_HEADROOM"
+    return "MARGINAL_HEADROOM" if ci_low >= smallest_effect else "FLOOR_LIMITED"
 
 
 def signal_present(point: float, ci_low: float, least_point: float, least_low: float) -> bool:
     return point >= least_point and ci_low > least_low
 
 
-def interaction(omnibus_p: float, estimates: Sequence[float], adjusted_p: Sequence[float], smallest_effect: float = 0.10, alpha: float = 0.05) -> str:
-    """Label of a family of difference-in-differences behind one omnibus test."""
-    if omnibus_p >= alpha:
-        return "NO_DETECTED_INTERACTION"
-    sure = [e for e, p in zip(estimates, adjusted_p, strict=True) if p < alpha]
-    if any(abs(e) >= smallest_effect for e in sure):
-        return "MATERIAL_INTERACTION"
-    return "SMALL_INTERACTION" if sure else "OMNIBUS_ONLY"
+def interaction(omnibus_p: float, estimates: Mapping[str, float], adjusted_p: Mapping[str, float], family: Sequence[str] | None = None, smallest_effect: float = 0.10, alpha: float = 0.05) -> str:
+    """Label of a family of difference-in-differences behind one omnibus test.
+
+    Without omnibus evidence nothing is claimed; else sizes come before adjusted p-values: one large enough must be there, and
+    one of the large ones must hold after adjustment. A family other than the registered one, values that are not finite and
+    p-values outside 0 to 1 are refused.
+    """
+    names = set(estimates if family is None else family)
+    if not names or set(estimates) != names or set(adjusted_p) != names:
+        raise ValueError(f"estimates and p-values must be of exactly {sorted(names)}")
+    p_values = np.array([omnibus_p, *adjusted_p.values()], float)
+    if not np.isfinite([*p_values, *estimates.values()]).all() or (p_values < 0).any() or (p_values > 1).any():
+        raise ValueError("estimates must be finite and p-values from 0 to 1")
+    large = [name for name, e in estimates.items() if abs(e) >= smallest_effect]
+    if omnibus_p > alpha:
+        return "NO_CONFIRMATORY_MODEL_BUDGET_INTERACTION_EVIDENCE"
+    if not large:
+        return "INTERACTION_DETECTED_BELOW_PLANNED_SESOI"
+    held = min(adjusted_p[name] for name in large) <= alpha
+    return "MEANINGFUL_MODEL_BUDGET_INTERACTION_SUPPORTED" if held else "SUGGESTIVE_MEANINGFUL_INTERACTION_NOT_CONFIRMED"
 
 
 def primary_cause(flags: Mapping[str, bool]) -> str:

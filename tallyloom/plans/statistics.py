@@ -255,11 +255,11 @@ def did(t: Tables) -> DataFrame:
 
 
 @query("DEC1_DEC4_rules", """select o_orderkey, case when o_totalprice < 20000 then 'format_loss' when o_totalprice > 300000 then 'loop' when o_orderstatus = 'P' then 'omission' when o_orderpriority = '1-URGENT' then 'overgeneration' else 'misread' end as cause,
-    case when o_totalprice / 500000 - 0.1 >= 0.25 then 'ADEQUATE' when o_totalprice / 500000 - 0.1 > 0 then 'MARGINAL' else 'FLOOR_LIMITED' end as headroom from orders""")
+    case when o_totalprice / 500000 - 0.1 >= 0.2 then 'ADEQUATE_HEADROOM' when o_totalprice / 500000 - 0.1 >= 0.1 then 'MARGINAL_HEADROOM' else 'FLOOR_LIMITED' end as headroom from orders""")
 def rules(t: Tables) -> DataFrame:
     p = F.col("o_totalprice")
     cause = F.when(p < 20000, "format_loss").when(p > 300000, "loop").when(F.col("o_orderstatus") == "P", "omission").when(F.col("o_orderpriority") == "1-URGENT", "overgeneration").otherwise("misread")
-    room = F.when(p / 500000 - 0.1 >= 0.25, "ADEQUATE").when(p / 500000 - 0.1 > 0, "MARGINAL").otherwise("FLOOR_LIMITED")
+    room = F.when(p / 500000 - 0.1 >= 0.2, "ADEQUATE_HEADROOM").when(p / 500000 - 0.1 >= 0.1, "MARGINAL_HEADROOM").otherwise("FLOOR_LIMITED")
     return t.orders.select("o_orderkey", cause.alias("cause"), room.alias("headroom"))
 
 

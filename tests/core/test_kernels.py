@@ -5,6 +5,8 @@ import random
 import pytest
 
 from tallyloom.functions import kernels as K
+from tallyloom.functions import markup as M
+from tallyloom.operators import relational as R
 
 CASES = [("", ""), ("", "abc"), ("abc", ""), ("kitten", "sitting"), ("ไฟฟ้า น้ำ", "ไฟฟา น้ำ"), ("aaaa", "aa")]
 
@@ -63,6 +65,28 @@ def test_loops():
     assert period == 27 and t[start : start + 27] * 2 == t[start : start + 54]
     assert K.strip_repeats("ab12" * 10 + "end") == "ab12end"
     assert K.cut_at_loop("ab12" * 10 + "end", 8, 6) == "ab12"
+    assert K.strip_repeats("q" + "ab12" * 9 + " - " + "word " * 12 + "abc") == "qab12 - word abc"
+    assert K.loop_onset("x" + (" " * 32 + "a") * 9, 8, 6) == (2, 33)  # at 1 the shortest unit is of spaces
+    assert K.loop_onset("-" * 500, 8, 6) is None
+
+
+def test_markup_rules():
+    assert M.extract("<section>ab</section><section>cd</section><caption>x</caption>e<figure/>f") == ("ab cd x e f", 0, 0)
+    assert M.extract("a<figure>b<figure>c</figure>d</figure>e</figure>f<figure>g") == ("a e f", 3, 1)
+    assert M.extract("a<figure>b</figure>c", figures=True) == ("a b c", 1, 0)
+    assert M.unwrap(r'{"natural_text": "a\nb", "x": tr') == "a\nb" and M.unwrap(r'{"natural_text": "a\u00e9\u12') == "aé"
+    assert M.unwrap('{"natural_text": null}') == '{"natural_text": null}' and M.unwrap('{"natural_text": "a\nb"') == "a\nb" and M.unwrap("x") == "x"
+    assert M.windows("  ab cd  efg h", 4) == [(2, 7), (9, 14)] and M.windows(" ", 4) == [] and M.windows("ab cd e", 4) == [(0, 7)]
+
+
+def test_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, 0.0, 0.0), (1, 0.0, 0.0), (2, 5.0, 5.0)], "id int, x double, y double")
+    near = spark.createDataFrame([(7, 1.0, 0.0), (3, 0.0, 1.0), (9, 5.0, 4.0)], "ordinal int, rx double, ry double")
+    assert sorted((r.id, r.nearest) for r in R.nearest_representative(rows, near, "x", "y").collect()) == [(1, 3), (1, 3), (2, 9)]
+    arms = spark.createDataFrame([(1, "a", 5), (1, "b", 6), (2, "a", 1)], "item int, arm string, v int")
+    assert [tuple(r) for r in R.paired(arms, "item", "arm", "a", "b", ["v"]).collect()] == [(1, 5, 6)]
+    with pytest.raises(Exception, match="two rows of one arm"):
+        R.paired(arms.unionByName(arms), "item", "arm", "a", "b", ["v"]).collect()
     assert K.banned_tokens([1, 2, 3, 1, 2], 3, 10) == [3] and K.banned_tokens([1, 2, 3, 1, 2], 3, 10, frozenset([3])) == []
 
 

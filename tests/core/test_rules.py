@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from tallyloom.plans import rules as R
 
@@ -14,8 +15,13 @@ def test_tails():
 
 
 def test_labels():
-    assert R.headroom(0.3, 0.1) == "ADEQUATE" and R.headroom(0.1, 0.1) == "MARGINAL" and R.headroom(-0.1, 0.1) == "FLOOR_LIMITED"
-    assert R.interaction(0.2, [1], [0.01]) == "NO_DETECTED_INTERACTION" and R.interaction(0.01, [0.2], [0.01]) == "MATERIAL_INTERACTION"
+    assert [R.headroom(x, 0.1) for x in (0.21, 0.2, 0.19, 0.1, 0.09, -0.1)] == ["ADEQUATE_HEADROOM"] * 2 + ["MARGINAL_HEADROOM"] * 2 + ["FLOOR_LIMITED"] * 2
+    label = lambda omnibus, *pairs: R.interaction(omnibus, dict(enumerate(e for e, _ in pairs)), dict(enumerate(p for _, p in pairs)))
+    assert label(0.051, (1, 0.01)).startswith("NO_CONFIRMATORY") and label(0.05, (0.09, 0.01)).startswith("INTERACTION_DETECTED_BELOW")
+    assert label(0.05, (-0.1, 0.05), (0.01, 0.9)).startswith("MEANINGFUL") and label(0.01, (0.1, 0.06), (0.01, 0.01)).startswith("SUGGESTIVE")
+    for bad in (lambda: label(float("nan"), (1, 0.1)), lambda: label(0.1, (1, 1.1)), lambda: R.interaction(0.1, {"a": 1}, {"b": 1}), lambda: R.interaction(0.1, {"a": 1}, {"a": 1}, ["a", "b"])):
+        with pytest.raises(ValueError):
+            bad()
     assert R.primary_cause({"omission": True, "loop": True}) == "loop" and R.primary_cause({}) == "misread"
     assert R.best_of({"a": {"b": 0.1}, "b": {"a": -0.1}}) == "a" and R.best_of({"a": {"b": 0}, "b": {"a": 0}}) is None
     assert R.gate(None, 1) == "NOT_ESTIMABLE" and R.gate(0.8, 0.5) == "PASS"
