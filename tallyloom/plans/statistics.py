@@ -248,8 +248,9 @@ def auroc(t: Tables) -> DataFrame:
 @query("DID2_DID3_DID4_difference_in_differences", f"""with {O.ARMS_SQL}, e as (select condition_id, doc_id, {_LEV} / length(reference) as cer from arms), p as (select doc_id, max(cer) filter (condition_id = 'FULL') as f, max(cer) filter (condition_id = 'A_50') as a, max(cer) filter (condition_id = 'B_50') as b from e group by 1)
     select count(*) as n, round(avg(a - f), 9) as delta_a, round(avg(b - f), 9) as delta_b, round(avg((b - f) - (a - f)), 9) as did from p where f is not null and a is not null and b is not null""")
 def did(t: Tables) -> DataFrame:
-    e = O.arms(t.documents).withColumn("cer", F.levenshtein("reference", "hypothesis") / F.length("reference"))
-    p = e.groupBy("doc_id").pivot("condition_id", ["FULL", "A_50", "B_50"]).agg(F.max("cer")).dropna()
+    arms = ["FULL", "A_50", "B_50"]
+    e = O.arms(t.documents).where(F.col("condition_id").isin(arms)).withColumn("cer", F.levenshtein("reference", "hypothesis") / F.length("reference"))
+    p = e.groupBy("doc_id").pivot("condition_id", arms).agg(F.max("cer")).dropna()
     a, b = F.col("A_50") - F.col("FULL"), F.col("B_50") - F.col("FULL")
     return p.agg(F.count("*").alias("n"), F.round(F.avg(a), 9).alias("delta_a"), F.round(F.avg(b), 9).alias("delta_b"), F.round(F.avg(b - a), 9).alias("did"))
 
