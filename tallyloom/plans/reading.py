@@ -94,8 +94,8 @@ def causes(t: Tables) -> DataFrame:
     return records(t.documents).withColumn("a", udf("reference", "output")).select("doc_id", *(F.coalesce(f"a.{n}", F.lit(0)).alias(n) for n in names))
 
 
-def _summary(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """Rates of scored rows; documents without text count as observations only."""
+def _summary(scored: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """Rates of scored rows, and more aggregates; documents without text count as observations only."""
     has, total = F.col("chars") > 0, lambda c: F.sum(F.when(F.col("chars") > 0, F.col(c)))
     marks = []
     for k in K.CLASSES[:3]:
@@ -108,7 +108,7 @@ def _summary(scored: DataFrame, keys: list[str]) -> DataFrame:
         F.count("*").alias("observations"), F.count_if(~has).alias("empty_references"), F.round(F.avg(F.try_divide("edits", "chars")), 9).alias("macro_cer"),
         _rate(total("edits"), total("chars"), "micro_cer"), _rate(total("CONSONANT_n") - total("CONSONANT_correct"), total("CONSONANT_n"), "consonant_error"),
         F.round(F.avg(F.col("capped").cast("int")), 9).alias("capped_rate"), F.round(F.avg(F.col("repetitive").cast("int")), 9).alias("repetitive_rate"),
-        F.round(F.percentile(F.try_divide("seconds", "tokens"), 0.5), 9).alias("median_seconds_per_token"), *marks,
+        F.round(F.percentile(F.try_divide("seconds", "tokens"), 0.5), 9).alias("median_seconds_per_token"), *marks, *more,
     )
 
 
@@ -143,7 +143,7 @@ def chance_thresholds(r: DataFrame, seed: int, quantile: float = 0.05) -> DataFr
 
 def _chance(reference: str, output: str) -> dict[str, int]:
     ref, hyp = G.extract(reference)[0], G.extract(output)[0]
-    return {"edits": K.best_window(ref, hyp)[0] if ref else 0, "chars": len(ref)}
+    return {"edits": min(K.bit_costs(K._codes(ref), K._codes(hyp), free_start=True)), "chars": len(ref)}
 
 
 @query("KRN21_AGG18_AGG19_PVL15_anchored_scores")
@@ -154,17 +154,18 @@ def anchored_scores(t: Tables) -> DataFrame:
     at = r.join(F.broadcast(chance), CELL, "left")  # one row a cell: cells are languages by prompts
     udf = G.each_udf(G.anchored_score, G.longs([*G.SCORED, *K._MARKS]))
     s = at.withColumns({"repetitive": K.repetitive_udf()("output"), "s": udf("reference", "output", "threshold")})
-    s = s.select(*CELL, "capped", "repetitive", "seconds", "tokens", "s.*")
+    null = ("threshold", "null_min", "null_median", "null_n")
+    s = s.select(*CELL, "capped", "repetitive", "seconds", "tokens", *null, "s.*")
     has = F.col("chars") > 0
     figure = has & (F.col("figures") > 0)
     half = lambda num, name: F.round(F.percentile(F.when(has, F.try_divide(num, "chars")), 0.5), 9).alias(name)
-    more = s.groupBy(*CELL).agg(
-        half("edits", "median_cer"), half("edits_raw", "median_cer_raw"), half(F.col("hyp_chars") - F.col("window_chars"), "median_overgeneration"),
+    return _summary(
+        s, CELL, half("edits", "median_cer"), half("edits_raw", "median_cer_raw"), half(F.col("hyp_chars") - F.col("window_chars"), "median_overgeneration"),
         F.round(F.avg(F.when(has, F.col("located"))), 9).alias("located_rate"), F.count_if(figure).alias("outputs_with_figure"),
         F.count_if(has & (F.col("unclosed_figures") > 0)).alias("unclosed_figure_outputs"), F.round(F.avg(F.when(figure, F.try_divide("figure_only", "chars"))), 9).alias("figure_only_share"),
+        *(F.round(F.max(c), 9).alias(c) for c in null),
     )
-    rounded = [F.round(c, 9).alias(c) for c in ("threshold", "null_min", "null_median")]
-    return _summary(s, CELL).join(more, CELL).join(chance.select(*CELL, *rounded, "null_n"), CELL, "left")
+
 
 
 # What makes a cause the first one of a poor rate.
