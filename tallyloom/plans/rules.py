@@ -104,3 +104,110 @@ def logit_shift(rates: Sequence[float], target: float) -> float:
         mid = (low + high) / 2
         low, high = (mid, high) if (1 / (1 + np.exp(-(logits + mid)))).mean() < target else (low, mid)
     return (low + high) / 2
+
+
+def binomial_cdf(k: int, n: int, p: float) -> float:
+    """P(X <= k) of n trials, by logarithms; exact at p of 0 and 1."""
+    from math import exp, fsum, lgamma, log, log1p
+
+    if k >= n or p <= 0:
+        return float(k >= 0)
+    if k < 0 or p >= 1:
+        return 0.0
+    return min(1.0, fsum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * log(p) + (n - j) * log1p(-p)) for j in range(k + 1)))
+
+
+# The bounds of the readings below.
+CONTROL_FLOOR, MATERIAL, GAIN, RECOVERED, RECOVERY_GAIN, LEAST_OMITTED = 0.80, 0.05, 0.10, 0.5, 0.15, 10
+LEAST_ACCURACY, MOST_FAILURES = 0.20, 0.01
+FITTED, MISFIT, NOT_FITTED = "FIT_SUCCESS_DIAGNOSTICS_PASS", "FIT_SUCCESS_DIAGNOSTICS_FAIL", "FIT_EXCEPTION_NUMERICAL_FALLBACK_ELIGIBLE"
+APPROVED, STAGES = "NUMERICAL_GLMM_FIT_EXCEPTION_FALLBACK_AMENDMENT_APPROVED", ("FULL_MODEL_FIT", "NULL_MODEL_FIT")
+
+Interval = Mapping[str, float]  # estimate, ci_low, ci_high
+
+
+def material(effect: Interval, least: float = MATERIAL) -> bool:
+    """Above 0 by its interval, and large enough."""
+    return effect["ci_low"] > 0 and effect["estimate"] >= least
+
+
+def root_cause(following: Interval, accuracy: Interval, retrieval: Interval, rescue: Interval, interface_low: float, signal: tuple[float, float], gain: tuple[float, float]) -> str:
+    """Whether failures lie in the interface, in what is seen, in both, or can't be told. signal and gain: least estimate, and what ci_low exceeds."""
+    interface = following["ci_low"] >= interface_low
+    seen, found, rescued = (signal_present(x["estimate"], x["ci_low"], *least) for x, least in ((accuracy, signal), (retrieval, signal), (rescue, gain)))
+    table = {
+        "mixed": interface and not seen and rescued,
+        "measurement/interface": interface and (seen or found),
+        "visual representation": rescued and not (interface or seen or found),
+    }
+    return next((name for name, holds in table.items() if holds), "inconclusive")
+
+
+def full_validity(accuracy_low: Mapping[str, float], failure_rate: Mapping[str, float], engineering: bool) -> str:
+    """PASS when every model reads enough, hardly any output breaks its contract and the calls are as planned."""
+    enough = all(low >= LEAST_ACCURACY for low in accuracy_low.values())
+    return "PASS" if enough and engineering and all(rate <= MOST_FAILURES for rate in failure_rate.values()) else "FAIL"
+
+
+def uses_fallback(fit: Mapping[str, object]) -> bool:
+    """Whether a fitted mixed model gives way to the fallback; a report that contradicts itself is refused."""
+    status, had, passed = fit.get("fit_status"), fit.get("diagnostics_available"), fit.get("diagnostics_pass")
+    consistent = {
+        FITTED: had is True and passed is True,
+        MISFIT: had is True and passed is False,
+        NOT_FITTED: had is False and "diagnostics_pass" not in fit and fit.get("fallback_eligibility") == APPROVED and fit.get("fit_stage") in STAGES,
+    }
+    if not consistent.get(status, False):
+        raise ValueError(f"the report of a fit with status {status!r} contradicts itself or is not eligible")
+    return status != FITTED
+
+
+def zoom_reading(text_share: float | None, figure_share: float | None, gain: float | None) -> str:
+    """What tiles recover of absent marks: as text, and more than the whole page under the same prompt; or in figures only."""
+    if text_share is not None and text_share >= RECOVERED:
+        return "prompt_not_zoom" if gain is None or gain < RECOVERY_GAIN else "resolution_attention_limit"
+    return "policy" if figure_share is not None and figure_share >= RECOVERED else "beyond_typhoon_at_this_resolution"
+
+
+def views_reading(zoom: float, perturbation: float, control: float) -> str:
+    if control < CONTROL_FLOOR:
+        return "instrument_fails_control"
+    if min(zoom, zoom - perturbation) >= GAIN:
+        return "zoom_adds_beyond_perturbation"
+    return "perturbation_explains_gain" if perturbation >= GAIN else "no_gain_from_views"
+
+
+def controlled_reading(effect: Interval, control: float, same_stack: bool = True) -> str:
+    """Zoom against the same crops without it; what the interval can't tell from 0 is not called an absence."""
+    if control < CONTROL_FLOOR or not same_stack:
+        return "instrument_fails_control" if control < CONTROL_FLOOR else "stack_differs"
+    helps, hurts = effect["estimate"] >= GAIN and effect["ci_low"] > 0, effect["estimate"] <= -GAIN and effect["ci_high"] < 0
+    return "zoom_helps" if helps else "zoom_hurts" if hurts else "zoom_not_distinguishable"
+
+
+def masking_reading(masked: bool, cropped: bool, sized: bool, control: float) -> str:
+    """From which of three contrasts are material."""
+    if control < CONTROL_FLOOR:
+        return "masked_damages_ordinary_reading"
+    if masked:
+        return "both_contribute" if sized else "competing_content"
+    if not cropped:
+        return "crop_effect_not_reproduced"
+    return "image_size_or_token_count" if sized else "not_distinguishable"
+
+
+def read_count_reading(effect: Interval, qualified: bool) -> str:
+    less = effect["ci_high"] < 0 and effect["estimate"] <= -MATERIAL
+    label = "masking_adds_beyond_read_count" if material(effect) else "whole_page_reads_recover_more" if less else "read_count_accounts_for_gain"
+    return f"{label}_qualified" if qualified else label
+
+
+def omission_reading(omitted: int, found_masked: int, found_tight: int) -> str:
+    """Why lines are left out of a page: half of them or more are read where other content is masked, or where the crop is tight."""
+    if omitted < LEAST_OMITTED:
+        return "too_few_omissions"
+    return "competing_content" if 2 * found_masked >= omitted else "image_size_or_zoom" if 2 * found_tight >= omitted else "not_readable_alone"
+
+
+def vote_verdict(fixed: int, broken: int, f1_before: float, f1_after: float) -> str:
+    return "PASS" if fixed > broken and f1_after > f1_before else "FAIL"
