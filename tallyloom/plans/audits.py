@@ -198,6 +198,24 @@ def shard_then_limit(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "lang", k.alias("k")).where((F.col("k") % 3 == 1) & (F.floor(F.col("k") / 3) < 20)).select("doc_id", "lang")
 
 
+@query("FLT10_available_development_rows", f"""select conv_id, turn from conversations where ('0x' || substr(sha256('17:' || conv_id), 1, 2))::bigint % 4 = 0 and regexp_matches(translate(lower(text), '{LATIN}', '{THAI}'), '[฀-๿]') and conv_id in (select page_id from pages)""")
+def available(t: Tables) -> DataFrame:
+    """Rows of the development split that hold Thai and whose page is there."""
+    dev = X.digest_number(X.digest(17, F.col("conv_id")), 2) % 4 == 0
+    rows = t.conversations.where(dev & X.has_thai(thai(F.col("text")))).select("conv_id", "turn")
+    return rows.join(t.pages.select(F.col("page_id").alias("conv_id")), "conv_id", "left_semi")
+
+
+@query("WRK9_units_in_queues", """with q as (select o_custkey as unit, count(distinct o_orderpriority) as n from orders group by 1), u as (select c_custkey as unit from customer)
+    select *, missing = 0 and unknown = 0 and repeated = 0 as valid from (select (select count(*) from u) as units, (select count(*) from u where unit not in (select unit from q)) as missing, (select count(*) from q where unit not in (select unit from u)) as unknown, (select count(*) from q where n > 1) as repeated)""")
+def units(t: Tables) -> DataFrame:
+    """Units that are in no queue, that are in one without being known, and that are in several; valid if there are none."""
+    queued = t.orders.groupBy(F.col("o_custkey").alias("unit")).agg(F.count_distinct("o_orderpriority").alias("n"))
+    both = t.customer.select(F.col("c_custkey").alias("unit"), F.lit(True).alias("known")).join(queued, "unit", "full")
+    n = both.agg(F.count("known").alias("units"), F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("known").isNull()).alias("unknown"), F.count_if(F.col("n") > 1).alias("repeated"))
+    return n.withColumn("valid", (F.col("missing") == 0) & (F.col("unknown") == 0) & (F.col("repeated") == 0))
+
+
 #: Cells of factors that main effects are fitted on; their sums go to the driver.
 MOST_CELLS = 100_000
 #: Draws of pairs.
