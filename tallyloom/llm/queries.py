@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyloom.llm import ann, exact_dedup, jaccard, mixing, packing, quality, sharding, substring, suffix, token_counts
+from tallyloom.llm import ann, clustering, exact_dedup, jaccard, mixing, packing, quality, sharding, simhash, substring, suffix, token_counts, vector_codes
 from tallyloom.llm.common import documents
 
 
@@ -52,7 +53,62 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_with_edits(docs, token_counts.drill, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_inverted_multi_index, op4_sharding, op5_quality_classifier, op6_substring_dedup, op7_ngram_jaccard_join, op8_suffix_array_dedup, op9_packing, op10_token_counts)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=4, entries=256, rounds=4, scale=1024)
+    return codes.withColumn("codebooks_sha256", F.lit(vector_codes.books_sha256(books)))
+
+
+def op12_drake_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=40, rounds=5, scale=256, length=64)
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_classes(documents(spark, sf_dir), width=4, most=4)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_inverted_multi_index, op4_sharding, op5_quality_classifier, op6_substring_dedup, op7_ngram_jaccard_join, op8_suffix_array_dedup, op9_packing, op10_token_counts, op11_vector_codes, op12_drake_clustering, op13_simhash)}
+
+#: Floor of a division of integers, in SQL.
+_FLOOR = "(({s}) - ((({s}) % {n}) + {n}) % {n}) // {n}"
+
+
+def _vector_codes(rounds: int) -> str:
+    """Rounds unrolled: a<i> assigns every part, b<i> has the codebooks."""
+    floor = _FLOOR.format(s="sum(u.v)", n="count(*)")
+    parts = [
+        """e as (select vec_id, label, list_transform(embedding, lambda x: floor(x::double * 1024)::bigint) as v from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        "p as materialized (select vec_id, label, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] as v from e, range(4) as r(p))",
+        "b0 as materialized (select p, row_number() over (partition by p order by vec_id) - 1 as k, v from (select * from p qualify row_number() over (partition by p order by vec_id) <= 256))",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} as materialized (select vec_id, label, p, any_value(v) as v, min(struct_pack(d := d, k := k)) as m from
+            (select p.vec_id, p.label, p.p, p.v, b.k, list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from p join b{i} as b on p.p = b.p) group by vec_id, label, p)""")
+        if i < rounds:
+            parts.append(f"""b{i + 1} as materialized (select b.p, b.k, coalesce(n.v, b.v) as v from b{i} as b left join (select p, k, list(v order by i) as v from
+                (select p, m.k as k, u.i, ({floor})::bigint as v from a{i}, unnest(v) with ordinality as u(v, i) group by p, m.k, u.i) group by p, k) as n on n.p = b.p and n.k = b.k)""")
+    parts.append(f"c as (select vec_id, label, string_agg(printf('%02x', m.k), '' order by p) as code, sum(m.d)::bigint as error from a{rounds} group by vec_id, label)")
+    parts.append(f"h as (select sha256(string_agg(array_to_string(v, ','), ',' order by p, k)) as h from b{rounds})")
+    return f"with {', '.join(parts)} select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, h as codebooks_sha256 from c, h"
+
+
+def _clusters(rounds: int) -> str:
+    """Rounds unrolled: a<i> assigns every vector, c<i> has the centroids."""
+    floor = _FLOOR.format(s="sum(u.v)", n="count(*)")
+    parts = [
+        """v as materialized (select vec_id, list_transform(embedding, lambda x: floor(x::double * 256)::bigint) as v from embeddings
+            where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        "c0 as materialized (select row_number() over (order by sha256('2:' || vec_id)) - 1 as k, v from (select * from v order by sha256('2:' || vec_id) limit 40))",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} as materialized (select vec_id, any_value(v) as v, min(struct_pack(d := d, k := k)) as m from
+            (select v.vec_id, v.v, c.k, list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from v, c{i} as c) group by vec_id)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} as materialized (select c.k, coalesce(n.v, c.v) as v from c{i} as c left join (select k, list(v order by i) as v from
+                (select m.k as k, u.i, ({floor})::bigint as v from a{i}, unnest(v) with ordinality as u(v, i) group by m.k, u.i) group by k) as n using (k))""")
+    return f"""with {", ".join(parts)} select vec_id, m.k::int as cluster, m.d as distance, (sum(m.d) over (partition by m.k))::bigint as cluster_inertia, (sum(m.d) over ())::bigint as inertia,
+        sha256(array_to_string(c.v, ',')) as centroid_sha256 from a{rounds} join c{rounds} as c on c.k = m.k"""
+
 
 #: DuckDB SQL for the rows of those queries that SQL can express.
 ORACLES = {
@@ -78,4 +134,6 @@ ORACLES = {
         edges as (select a, b from links union all select b, a from links),
         reach as (select doc_id as x, doc_id as y from s union select r.x, e.b from reach as r join edges as e on r.y = e.a)
         select doc_id, len(s) as n_shingles, c.component_id from s join (select x, min(y) as component_id from reach group by x) as c on c.x = s.doc_id""",
+    "op11_vector_codes": _vector_codes(4),
+    "op12_drake_clustering": _clusters(5),
 }

@@ -10,13 +10,13 @@ import pyarrow as pa
 
 from tallyloom.llm.common import BASE, mixed
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _rng = np.random.Generator(np.random.PCG64(20240607))
 #: A random 64-bit value for each byte.
 BYTES = _rng.integers(0, 2**64, 256, np.uint64)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
 #: Bytes of text that are worked on at a time, unless one document is longer.
 CHUNK = 1 << 20
 _INVERSE = pow(BASE, -1, 2**64)
@@ -56,7 +56,7 @@ class Chunk:
     def hashes(self, lower: bool = False) -> np.ndarray:
         """64-bit hash of each word; lower: of the word with A-Z in lower case."""
         up, down = powers(len(self.data) + 1)
-        values = BYTES[_LOWER] if lower else BYTES
+        values = BYTES[LOWER] if lower else BYTES
         with np.errstate(over="ignore"):
             sums = np.zeros(len(self.data) + 1, np.uint64)
             np.cumsum(values[self.data] * up[: len(self.data)], out=sums[1:])
@@ -95,7 +95,7 @@ def pieces(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
 
 def split(data: np.ndarray, offsets: np.ndarray, first: int = 0) -> Chunk:
     """Find the words of documents that lie at the given offsets of data."""
-    solid = ~_SPACE[data]
+    solid = ~BLANK[data]
     before, after = np.zeros_like(solid), np.zeros_like(solid)
     before[1:], after[:-1] = solid[:-1], solid[1:]
     edges = offsets[:-1][offsets[:-1] < len(data)]
