@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 ARMS = ("FULL", "A_75", "A_50", "A_25", "B_75", "B_50", "B_25")
 
 
+def distance(a: Column, b: Column) -> Column:
+    """Edit distance. Like texts are told apart within a narrow band of the matrix first; only what is further apart takes a wider one or all of it."""
+    within = lambda most: F.nullif(F.levenshtein(a, b, most), F.lit(-1))
+    return F.when(a == b, 0).otherwise(F.coalesce(within(32), within(512), F.levenshtein(a, b)))
+
+
 def reference(text: Column) -> Column:
     """The first 200 printable ASCII characters."""
     return F.substring(F.regexp_replace(text, "[^ -~]", ""), 1, 200)

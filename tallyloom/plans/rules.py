@@ -81,6 +81,15 @@ def wald(estimates: Sequence[float], draws: np.ndarray) -> dict[str, float | str
     return {"status": "OK", "statistic": value, "p": chi_square_tail(value, len(x))}
 
 
+def wald_of(estimates: Sequence[float], covariance: Sequence[Sequence[float]]) -> tuple[str, float | None, float | None]:
+    """Status, statistic and p of a global test of all estimates under a covariance; a singular or infinite one is said so, not forced."""
+    x, cov = np.asarray(estimates, float), np.asarray(covariance, float)
+    if not np.isfinite(cov).all() or np.linalg.matrix_rank(cov) < len(x):
+        return "FALLBACK_GLOBAL_TEST_NOT_ESTIMABLE", None, None
+    value = float(x @ np.linalg.solve(cov, x))
+    return "ESTIMABLE", value, chi_square_tail(value, len(x))
+
+
 def mann_whitney_p(rank_sum: float, n: int, m: int, tie_sizes: Sequence[int] = ()) -> float | None:
     """Two-sided normal approximation, with ties and continuity correction, from the rank sum of the first sample."""
     from math import erfc, sqrt
