@@ -6,10 +6,11 @@ sources, which go by the ids' last digits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators import contrasts as C
+from tallyloom.operators import mixed as M
 from tallyloom.operators import resample as B
 from tallyloom.plans import observations as O
 from tallyloom.plans import rules
@@ -391,3 +392,31 @@ def spearman(t: Tables) -> DataFrame:
     """Rank correlation of length and label of documents, sources drawn; ranks are remade in each draw from counts."""
     rows = t.documents.select("doc_id", "source", F.floor(F.col("n_chars") / 400).alias("x")).join(t.labels.select("doc_id", (F.col("quality") * 2 + F.col("toxic")).alias("y")), "doc_id")
     return C.rank_correlation_bootstrap(rows.select("source", "x", "y"), "source", DRAWS, 98)
+
+
+# A mixed model of the panel -------------------------------------------------------------------------------------------------------
+
+#: Terms that only the full model has.
+INTERACTIONS = [f"model:{b[1:]}" for b in BUDGETS[1:]]
+
+
+def panel_terms() -> dict[str, Column]:
+    """Model by budget, and what a render is drawn in; the languages but one stand for components."""
+    special = F.col("model") == "SPECIALIZED"
+    budgets = {b[1:]: F.col("budget") == b for b in BUDGETS[1:]}
+    render = F.col("render")
+    others = {"font": render % 2 == 1, "size": F.floor(render / 2) % 2 == 1, "member": render >= 4} | {f"lang_{v}": F.col("lang") == v for v in ("de", "es", "fr")}
+    return {"one": F.lit(True), "model": special} | budgets | {n: special & b for n, b in zip(INTERACTIONS, budgets.values(), strict=True)} | others
+
+
+@query("GLM1_DEC6_mixed_logit")
+def mixed_logit(t: Tables) -> DataFrame:
+    """Logistic regression of the panel with intercepts of sources and of members in sources: terms, errors, and the test of model by
+    budget. Fits that fail a check are said to, and the bootstrap family takes their place."""
+    rows = panel(t).withColumn("member", F.col("render") >= 4)
+    full, null, statistic, df, p = M.likelihood_ratio(rows, "source", "member", panel_terms(), INTERACTIONS, F.col("ok"))
+    passed = full.passed and null.passed
+    route = rules.uses_fallback({"fit_status": rules.FITTED if passed else rules.MISFIT, "diagnostics_available": True, "diagnostics_pass": passed})
+    faults = ",".join(sorted({n for f in (full, null) for n, ok in f.checks.items() if not ok}))
+    out = [(n, float(e), float(s), statistic, df, p, faults, route) for n, e, s in zip(full.terms, full.estimates, full.errors, strict=True)]
+    return t.spark.createDataFrame(out, "term string, estimate double, error double, lr_statistic double, df int, p double, failed_checks string, uses_fallback boolean")
