@@ -23,12 +23,18 @@ def shared_folder(spark: SparkSession) -> str:
     return at
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder where nothing is yet; what is there at exit is deleted."""
+    path = f"{shared_folder(spark)}/tallyloom/{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as Parquet in the shared folder, read back. It is deleted at exit."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tallyloom/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from tallyloom.functions import markup as M
 from tallyloom.functions import text as X
 from tallyloom.operators import resample as B
+from tallyloom.operators.storage import new_path
 from tallyloom.plans.registry import Tables, query
 from tallyloom.plans.rereads import LATIN, THAI, thai
+from tallyloom.sources import shards as H
 
 # Vowels that are above and below, tone marks, the tone mark that pairs differ by, and rules of difference.
 UPPER, LOWER, TONES, EK = "ิ-ื", "ุู", "่-๋", "่"
@@ -258,3 +260,14 @@ def covariance(t: Tables) -> DataFrame:
     excess = B.draw_sums(clusters, B.plan(clusters, [], DRAWS, 53), [], ["within", "cross", "one"]).select((mean("within") - mean("cross")).alias("v"))
     ends = excess.agg(*(F.round(F.percentile("v", q), 9).alias(n) for n, q in (("ci_low", 0.025), ("median", 0.5), ("ci_high", 0.975))), F.round(F.avg((F.col("v") <= 0).cast("int")), 9).alias("not_above_zero"))
     return point.select(F.col("one").alias("pairs"), *(F.round(v, 9).alias(n) for n, v in (("within", mean("within")), ("cross", mean("cross")), ("excess", mean("within") - mean("cross"))))).join(ends, how="cross")
+
+
+@query("SRC1_SRC2_SRC4_SNK1_SNK6_INT2_shard_table", """select lang, count(*) as documents, sum(n_chars)::bigint as chars, sum(('0x' || substr(sha256(text), 1, 8))::bigint)::bigint as digests from documents where text is not null group by lang""")
+def shard_table(t: Tables) -> DataFrame:
+    """Documents written as shards of JSON lines with their checksums, in two writes of which the second repeats the first, and read back strictly."""
+    docs = t.documents.where("text is not null").select("doc_id", "lang", "n_chars", "text")
+    path = new_path(t.spark)
+    H.append_missing(docs.where("doc_id % 3 > 0"), path, ["doc_id"])
+    H.append_missing(docs, path, ["doc_id"])
+    back = H.read_table(t.spark, path, docs.schema, ["doc_id"])
+    return back.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.sum(X.digest_number(F.sha2("text", 256))).alias("digests"))
