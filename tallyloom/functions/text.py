@@ -196,17 +196,23 @@ def ordered_text(order: Column, text: Column, separator: str = "\n") -> Column:
     return F.array_join(F.transform(pairs, lambda s: s["t"]), separator)
 
 
+def edit_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance. Where one text holds the other whole, it is what is left of the longer one, and no matrix is made."""
+    held = F.contains(a, b) | F.contains(b, a)
+    return F.when(held, F.abs(F.length(a) - F.length(b))).otherwise(F.levenshtein(a, b))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """1 less the edit distance over the longer length."""
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+    return 1 - edit_distance(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
 def cer(reference: Column, hypothesis: Column, clamp: bool = False) -> Column:
     """Edit distance over the reference's length. An empty reference is an error."""
-    value = F.levenshtein(reference, hypothesis) / F.length(reference)
+    value = edit_distance(reference, hypothesis) / F.length(reference)
     value = F.least(F.lit(1.0), value) if clamp else value
     return F.when(F.length(reference) == 0, F.raise_error(F.lit("reference must not be empty")).cast("double")).otherwise(value)
 
 
 def drift(reference: Column, other: Column) -> Column:
-    return F.levenshtein(reference, other) / F.greatest(F.lit(1), F.length(reference))
+    return edit_distance(reference, other) / F.greatest(F.lit(1), F.length(reference))

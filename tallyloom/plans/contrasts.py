@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions import text as X
 from tallyloom.operators import contrasts as C
 from tallyloom.operators import mixed as M
 from tallyloom.operators import resample as B
@@ -228,7 +229,7 @@ def arm_table(arms: DataFrame) -> DataFrame:
     """doc_id, source, condition_id, cer. FULL reads one line in seven with what `pairs` derives for it, the others without error."""
     full = F.when(F.col("doc_id") % 7 == 0, O.hypothesis(F.col("reference"), F.col("doc_id"))).otherwise(F.col("reference"))
     hyp = F.when(F.col("condition_id") == "FULL", full).otherwise(F.col("hypothesis"))
-    return arms.select("doc_id", "source", "condition_id", (O.distance(F.col("reference"), hyp) / F.length("reference")).alias("cer"))
+    return arms.select("doc_id", "source", "condition_id", (X.edit_distance(F.col("reference"), hyp) / F.length("reference")).alias("cer"))
 
 
 def contrast_families(table: DataFrame, families=FAMILIES, levels=LEVELS, draws: int = DRAWS, seed: int = 94) -> DataFrame:

@@ -10,7 +10,7 @@ from tallyloom.plans import observations as O
 from tallyloom.plans.registry import Tables, query
 
 
-@query("KRN6_KRN9_KRN13_AGG12_component_errors", f"with {O.PAIRS_SQL} select doc_id, levenshtein(reference, hypothesis) as errors from pairs")
+@query("KRN6_KRN9_alignment_errors", f"with {O.PAIRS_SQL} select doc_id, levenshtein(reference, hypothesis) as errors from pairs")
 def errors(t: Tables) -> DataFrame:
     e = O.pairs(t.documents).select("doc_id", K.component_errors_udf()("reference", "hypothesis").alias("e"))
     total = sum((F.col(f"e.{f}") for f in K._ERRORS[1:]), F.col(f"e.{K._ERRORS[0]}"))
@@ -25,8 +25,8 @@ def anchored(t: Tables) -> DataFrame:
 
 @query("KRN8_KRN15_best_window")
 def windowed(t: Tables) -> DataFrame:
-    p = O.pairs(t.documents).withColumn("w", K.window_udf()(F.substring("reference", 21, 40), F.col("hypothesis"))).where(F.length("reference") > 60)
-    return p.select("doc_id", "w.distance", "w.start", "w.end", (F.col("w.distance") <= 20).alias("found"))
+    p = O.pairs(t.documents).withColumn("w", K.window_udf()("reference", F.concat("hypothesis", F.lit(" and "), "hypothesis")))
+    return p.select("doc_id", "w.distance", "w.start", "w.end", (2 * F.col("w.distance") <= F.length("reference")).alias("found"))
 
 
 @query("KRN10_KRN11_KRN12_mark_decomposition")

@@ -28,7 +28,7 @@ def failures(t: Tables) -> DataFrame:
 @query("FLT4_AGG37_readable_in_both", f"with {O.ARMS_SQL} select count(*) as n, count(*) filter (a.hypothesis = b.hypothesis and a.hypothesis <> a.reference) as agree_against_reference from arms as a join arms as b using (doc_id) where a.condition_id = 'A_50' and b.condition_id = 'B_75' and {_LEV.replace('reference', 'a.reference').replace('hypothesis', 'a.hypothesis')} <= 4 and {_LEV.replace('reference', 'b.reference').replace('hypothesis', 'b.hypothesis')} <= 4")
 def readable(t: Tables) -> DataFrame:
     p = R.paired(O.arms(t.documents), "doc_id", "condition_id", "A_50", "B_75", ["reference", "hypothesis"])
-    p = p.where((F.levenshtein("base_reference", "base_hypothesis") <= 4) & (F.levenshtein("arm_reference", "arm_hypothesis") <= 4))
+    p = p.where((X.edit_distance(F.col("base_reference"), F.col("base_hypothesis")) <= 4) & (X.edit_distance(F.col("arm_reference"), F.col("arm_hypothesis")) <= 4))
     return p.agg(F.count("*").alias("n"), F.count_if((F.col("base_hypothesis") == F.col("arm_hypothesis")) & (F.col("base_hypothesis") != F.col("base_reference"))).alias("agree_against_reference"))
 
 
@@ -60,7 +60,7 @@ def bands(t: Tables) -> DataFrame:
 
 @query("JOI20_WIN17_CMP47_best_read", f"with {O.ARMS_SQL} select doc_id, round(min({_LEV} / length(reference)), 9) as oracle, arg_min(condition_id, ({_LEV}, condition_id)) as best from arms where condition_id <> 'FULL' group by 1")
 def best(t: Tables) -> DataFrame:
-    d = F.levenshtein("reference", "hypothesis")
+    d = X.edit_distance(F.col("reference"), F.col("hypothesis"))
     return O.arms(t.documents).where("condition_id <> 'FULL'").groupBy("doc_id").agg(F.round(F.min(d / F.length("reference")), 9).alias("oracle"), F.min_by("condition_id", F.struct(d.alias("d"), "condition_id")).alias("best"))
 
 

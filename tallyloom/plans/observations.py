@@ -1,23 +1,22 @@
-"""Observation tables derived from the document table: a reference text and what an arm made of it."""
+"""Observation tables derived from the document table: a line as reference, and what an arm made of it."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Lines that a document may have.
+LINES = 1 << 20
 #: Arms of the derived study, and how many letters in a hundred each one loses at its level.
 ARMS = ("FULL", "A_75", "A_50", "A_25", "B_75", "B_50", "B_25")
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Edit distance. Like texts are told apart within a narrow band of the matrix first; only what is further apart takes a wider one or all of it."""
-    within = lambda most: F.nullif(F.levenshtein(a, b, most), F.lit(-1))
-    return F.when(a == b, 0).otherwise(F.coalesce(within(32), within(512), F.levenshtein(a, b)))
-
-
-def reference(text: Column) -> Column:
-    """The first 200 printable ASCII characters."""
-    return F.substring(F.regexp_replace(text, "[^ -~]", ""), 1, 200)
+def observed(text: Column) -> Column:
+    """The text with each character other than printable ASCII as one that is, by its code point: a byte for a character, so that distances
+    in bytes are distances in characters."""
+    one = lambda c: F.when(c.rlike("[ -~]"), c).otherwise(F.char(33 + F.ascii(c) % 94))
+    mapped = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), one), "")
+    return F.when(text.rlike("[^ -~]"), mapped).otherwise(text)
 
 
 def hypothesis(ref: Column, doc_id: Column) -> Column:
@@ -25,14 +24,16 @@ def hypothesis(ref: Column, doc_id: Column) -> Column:
     return F.when(doc_id % 3 == 0, F.replace(ref, F.lit("e"), F.lit(""))).otherwise(F.concat(ref, F.lit("x")))
 
 
-REFERENCE_SQL = "substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 200)"
-PAIRS_SQL = f"""pairs as (select doc_id, lang, source, reference, case when doc_id % 3 = 0 then replace(reference, 'e', '') else reference || 'x' end as hypothesis
-    from (select doc_id, lang, source, {REFERENCE_SQL} as reference from documents) where length(reference) > 0)"""
+_OBSERVED = "case when regexp_matches(line, '[^ -~]') then array_to_string(list_transform(regexp_extract_all(line, '(?s).'), lambda c: case when regexp_matches(c, '[ -~]') then c else chr(33 + ord(c) % 94) end), '') else line end"
+PAIRS_SQL = f"""pairs as (select doc_id, lang, source, reference, case when doc_id % 3 = 0 then replace(reference, 'e', '') else reference || 'x' end as hypothesis from (select doc_id * {LINES} + i - 1 as doc_id, lang, source, {_OBSERVED} as reference
+    from (select doc_id, lang, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) where line <> ''))"""
 
 
 def pairs(documents: DataFrame) -> DataFrame:
-    """doc_id, lang, source, reference, hypothesis; documents without a reference are left out."""
-    ref = documents.select("doc_id", "lang", "source", reference(F.col("text")).alias("reference")).where(F.length("reference") > 0)
+    """doc_id, lang, source, reference, hypothesis: one observation for each line of each document. doc_id is the line's: the document's
+    id times LINES and the line's number. Empty lines, and null texts, are none."""
+    lines = documents.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("_i", "_line")).where("_line <> ''")
+    ref = lines.select((F.col("doc_id") * LINES + F.col("_i")).alias("doc_id"), "lang", "source", observed(F.col("_line")).alias("reference"))
     return ref.withColumn("hypothesis", hypothesis(F.col("reference"), F.col("doc_id")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions import text as X
 from tallyloom.operators import guards as G
 from tallyloom.operators import relational as R
 from tallyloom.plans import observations as O
@@ -46,7 +47,7 @@ def agreement(t: Tables) -> DataFrame:
 @query("JOI2_DID1_paired_arms", f"with {O.ARMS_SQL} select a.doc_id, round((levenshtein(b.reference, b.hypothesis) - levenshtein(a.reference, a.hypothesis)) / length(a.reference), 9) as delta from arms as a join arms as b using (doc_id) where a.condition_id = 'FULL' and b.condition_id = 'B_50'")
 def deltas(t: Tables) -> DataFrame:
     p = R.paired(O.arms(t.documents), "doc_id", "condition_id", "FULL", "B_50", ["reference", "hypothesis"])
-    d = F.levenshtein("arm_reference", "arm_hypothesis") - F.levenshtein("base_reference", "base_hypothesis")
+    d = X.edit_distance(F.col("arm_reference"), F.col("arm_hypothesis")) - X.edit_distance(F.col("base_reference"), F.col("base_hypothesis"))
     return p.select("doc_id", F.round(d / F.length("base_reference"), 9).alias("delta"))
 
 
@@ -108,7 +109,7 @@ def conflicts(t: Tables) -> DataFrame:
 @query("JOI18_derangement", f"with {O.PAIRS_SQL} select doc_id, round(levenshtein(reference, coalesce(lead(hypothesis) over w, first_value(hypothesis) over w)) / length(reference), 9) as cer from pairs window w as (partition by lang order by doc_id)")
 def derangement(t: Tables) -> DataFrame:
     d = R.deranged(O.pairs(t.documents), "doc_id", ["lang"], ["hypothesis"])
-    return d.select("doc_id", F.round(F.levenshtein("reference", "next_hypothesis") / F.length("reference"), 9).alias("cer"))
+    return d.select("doc_id", F.round(X.edit_distance(F.col("reference"), F.col("next_hypothesis")) / F.length("reference"), 9).alias("cer"))
 
 
 @query("JOI19_nearest_representative", "select n_nationkey, arg_min(o, (d, o)) as nearest from (select n_nationkey, o, pow(n_nationkey % 5 - o % 3 * 2, 2) + pow(n_nationkey // 5 - o // 3 * 3, 2) as d from nation, (select unnest(range(6)) as o)) group by 1")

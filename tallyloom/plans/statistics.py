@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions import text as X
 from tallyloom.operators import relational as R
 from tallyloom.operators import resample as B
 from tallyloom.plans import observations as O
@@ -14,7 +15,7 @@ from tallyloom.plans.registry import Tables, query
 
 _LEV = "levenshtein(reference, hypothesis)"
 #: Draws of the registered bootstraps.
-DRAWS = 200
+DRAWS = 10_000
 
 
 @query("AGG1_AGG6_group_summary", """select l_returnflag, count(*) as n, count(distinct l_suppkey) as clusters, round(avg((l_quantity > 25)::int), 9) as accuracy, round(sum((l_quantity > 25)::int) filter (l_discount > 0.02) / count(*) filter (l_discount > 0.02), 9) as conditional_accuracy,
@@ -51,7 +52,7 @@ def latency(t: Tables) -> DataFrame:
 @query("AGG7_AGG8_AGG9_AGG10_AGG11_KRN1_KRN5_cer_by_condition", f"""with {O.ARMS_SQL}, d as (select *, {_LEV} as d, length(reference) as n from arms)
     select condition_id, count(*) as regions, round(avg(d / n), 9) as macro_cer, round(avg(least(1.0, d / n)), 9) as macro_cer_clamped, round(sum(d) / sum(n), 9) as micro_cer, count(*) filter (d > n) as over_one, count(*) filter (hypothesis = '') as empty from d group by 1""")
 def cer(t: Tables) -> DataFrame:
-    d = O.arms(t.documents).select("condition_id", "hypothesis", F.levenshtein("reference", "hypothesis").alias("d"), F.length("reference").alias("n"))
+    d = O.arms(t.documents).select("condition_id", "hypothesis", X.edit_distance(F.col("reference"), F.col("hypothesis")).alias("d"), F.length("reference").alias("n"))
     return d.groupBy("condition_id").agg(
         F.count("*").alias("regions"), F.round(F.avg(F.col("d") / F.col("n")), 9).alias("macro_cer"), F.round(F.avg(F.least(F.lit(1.0), F.col("d") / F.col("n"))), 9).alias("macro_cer_clamped"),
         F.round(F.try_divide(F.sum("d"), F.sum("n")), 9).alias("micro_cer"), F.count_if(F.col("d") > F.col("n")).alias("over_one"), F.count_if(F.col("hypothesis") == "").alias("empty"),
@@ -100,7 +101,7 @@ def geomean(t: Tables) -> DataFrame:
 @query("AGG32_AGG34_paired_fates", f"with {O.ARMS_SQL} select a.d as base, b.d as arm, count(*) as n from (select doc_id, least({_LEV}, 3) as d from arms where condition_id = 'A_75') as a join (select doc_id, least({_LEV}, 3) as d from arms where condition_id = 'B_25') as b using (doc_id) group by all")
 def fates(t: Tables) -> DataFrame:
     p = R.paired(O.arms(t.documents), "doc_id", "condition_id", "A_75", "B_25", ["reference", "hypothesis"])
-    d = lambda s: F.least(F.levenshtein(f"{s}_reference", f"{s}_hypothesis"), F.lit(3)).cast("long")
+    d = lambda s: F.least(X.edit_distance(F.col(f"{s}_reference"), F.col(f"{s}_hypothesis")), F.lit(3)).cast("long")
     return p.groupBy(d("base").alias("base"), d("arm").alias("arm")).agg(F.count("*").alias("n"))
 
 
@@ -182,8 +183,6 @@ def control(t: Tables) -> DataFrame:
 
 @query("KRN18_KRN19_similarity_and_drift", f"with {O.PAIRS_SQL} select doc_id, round(1 - {_LEV} / greatest(length(reference), length(hypothesis), 1), 9) as similarity, round({_LEV} / greatest(1, length(reference)), 9) as drift from pairs")
 def similarity(t: Tables) -> DataFrame:
-    from tallyloom.functions import text as X
-
     return O.pairs(t.documents).select("doc_id", F.round(X.similarity(F.col("reference"), F.col("hypothesis")), 9).alias("similarity"), F.round(X.drift(F.col("reference"), F.col("hypothesis")), 9).alias("drift"))
 
 
@@ -202,14 +201,14 @@ def _boot_sql(cluster: str, strata: str | None, source: str, num: str, den: str,
 @query("BOO1_BOO2_BOO5_QNT1_stratified_cluster_bootstrap", f"""with {O.PAIRS_SQL}, {_boot_sql('source', 'lang', 'pairs', _LEV, 'length(reference)', 17)}
     select round((select sum(num) / sum(den) from c), 9) as estimate, (select count(*) from c) as clusters, round(s[floor(0.025 * n)::int + 1], 9) as ci_low, round(s[least(n - 1, floor(0.975 * n))::int + 1], 9) as ci_high from q""")
 def bootstrap(t: Tables) -> DataFrame:
-    out = B.ratio_interval(O.pairs(t.documents), "source", ["lang"], F.levenshtein("reference", "hypothesis"), F.length("reference"), DRAWS, 17)
+    out = B.ratio_interval(O.pairs(t.documents), "source", ["lang"], X.edit_distance(F.col("reference"), F.col("hypothesis")), F.length("reference"), DRAWS, 17)
     return out.select(F.round("estimate", 9).alias("estimate"), "clusters", F.round("ci_low", 9).alias("ci_low"), F.round("ci_high", 9).alias("ci_high"))
 
 
 def _paired_draws(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Clusters and draws of the mean difference between two arms under one plan."""
     p = R.paired(O.arms(t.documents), "doc_id", "condition_id", "FULL", "B_25", ["source", "reference", "hypothesis"])
-    d = (F.levenshtein("arm_reference", "arm_hypothesis") - F.levenshtein("base_reference", "base_hypothesis")) / F.length("base_reference")
+    d = (X.edit_distance(F.col("arm_reference"), F.col("arm_hypothesis")) - X.edit_distance(F.col("base_reference"), F.col("base_hypothesis"))) / F.length("base_reference")
     c = B.cluster_sums(p.withColumn("source", F.col("base_source")), "source", [], {"num": d, "den": F.lit(1)})
     return c, B.draw_sums(c, B.plan(c, [], DRAWS, 23), [], ["num", "den"]).withColumn("v", F.try_divide("num", "den"))
 
@@ -249,7 +248,7 @@ def auroc(t: Tables) -> DataFrame:
     select count(*) as n, round(avg(a - f), 9) as delta_a, round(avg(b - f), 9) as delta_b, round(avg((b - f) - (a - f)), 9) as did from p where f is not null and a is not null and b is not null""")
 def did(t: Tables) -> DataFrame:
     arms = ["FULL", "A_50", "B_50"]
-    e = O.arms(t.documents).where(F.col("condition_id").isin(arms)).withColumn("cer", F.levenshtein("reference", "hypothesis") / F.length("reference"))
+    e = O.arms(t.documents).where(F.col("condition_id").isin(arms)).withColumn("cer", X.edit_distance(F.col("reference"), F.col("hypothesis")) / F.length("reference"))
     p = e.groupBy("doc_id").pivot("condition_id", arms).agg(F.max("cer")).dropna()
     a, b = F.col("A_50") - F.col("FULL"), F.col("B_50") - F.col("FULL")
     return p.agg(F.count("*").alias("n"), F.round(F.avg(a), 9).alias("delta_a"), F.round(F.avg(b), 9).alias("delta_b"), F.round(F.avg(b - a), 9).alias("did"))
