@@ -52,13 +52,7 @@ def alignment(t: Tables) -> DataFrame:
     return t.orders.where("o_orderpriority = '1-URGENT'").join(pref, "o_custkey").groupBy("p").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == F.col("p")).alias("aligned"))
 
 
-@query("JOI14_band_overlap", "select n_nationkey, count(*) as bands from nation, (select unnest(range(6)) as b) where abs(n_nationkey - b * 5) <= 3 group by 1")
-def bands(t: Tables) -> DataFrame:
-    at = t.nation.select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("b"))
-    return at.where(F.abs(F.col("n_nationkey") - F.col("b") * 5) <= 3).groupBy("n_nationkey").agg(F.count("*").alias("bands"))
-
-
-@query("JOI20_WIN17_CMP47_best_read", f"with {O.ARMS_SQL} select doc_id, round(min({_LEV} / length(reference)), 9) as oracle, arg_min(condition_id, ({_LEV}, condition_id)) as best from arms where condition_id <> 'FULL' group by 1")
+@query("JOI20_CMP47_best_read", f"with {O.ARMS_SQL} select doc_id, round(min({_LEV} / length(reference)), 9) as oracle, arg_min(condition_id, ({_LEV}, condition_id)) as best from arms where condition_id <> 'FULL' group by 1")
 def best(t: Tables) -> DataFrame:
     d = X.edit_distance(F.col("reference"), F.col("hypothesis"))
     return O.arms(t.documents).where("condition_id <> 'FULL'").groupBy("doc_id").agg(F.round(F.min(d / F.length("reference")), 9).alias("oracle"), F.min_by("condition_id", F.struct(d.alias("d"), "condition_id")).alias("best"))
@@ -100,19 +94,6 @@ def live(t: Tables) -> DataFrame:
     return R.hash_rank(d, "doc_id", ["changed"], 2).where("changed or rank <= 10").select("doc_id")
 
 
-@query("AGG20_AGG21_CNT2_site_outcomes", """with v as (select p_partkey, p_brand, k as label, ln(1 + (p_size * (k + 3)) % 11) as image, ln(1 + (p_size * (k + 5)) % 7) as plain from part, (select unnest(range(4)) as k)),
-    b as (select p_partkey, p_brand, arg_max(label, (image, -label)) as image, arg_max(label, (plain, -label)) as plain, arg_max(label, (2 * image - plain, -label)) as contrast from v group by all)
-    select p_brand, round(avg((image = 1)::int), 9) as oracle, round(avg((plain = 1)::int), 9) as prior, round(avg((contrast = 1)::int), 9) as contrastive from b group by 1""")
-def outcomes(t: Tables) -> DataFrame:
-    size, k = F.col("p_size"), F.col("label")
-    v = t.part.select("p_partkey", "p_brand", "p_size", F.explode(F.array(*map(F.lit, range(4)))).alias("label"))
-    v = v.withColumns({"image": F.log(1 + (size * (k + 3)) % 11), "plain": F.log(1 + (size * (k + 5)) % 7)})
-    top = lambda c: F.max_by("label", F.struct(c.alias("s"), (-k).alias("t")))
-    b = v.groupBy("p_partkey", "p_brand").agg(top(F.col("image")).alias("image"), top(F.col("plain")).alias("plain"), top(2 * F.col("image") - F.col("plain")).alias("contrast"))
-    rate = lambda c, n: F.round(F.avg((F.col(c) == 1).cast("int")), 9).alias(n)
-    return b.groupBy("p_brand").agg(rate("image", "oracle"), rate("plain", "prior"), rate("contrast", "contrastive"))
-
-
 @query("AGG26_CMP30_escapes", "select conv_id, sum(len(regexp_extract_all(text, '[.!?]')))::bigint as escapes, count(*) filter (length(text) > 200) as caps from conversations group by 1")
 def escapes(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.sum(F.regexp_count("text", F.lit("[.!?]"))).alias("escapes"), F.count_if(F.length("text") > 200).alias("caps"))
@@ -151,7 +132,7 @@ def auroc_draws(t: Tables) -> DataFrame:
     return won.agg(F.count("v").alias("draws"), low.alias("ci_low"), high.alias("ci_high"))
 
 
-@query("BOO19_spearman", """with r as (select lang, rank() over (partition by lang order by n_chars) + (count(*) over (partition by lang, n_chars) - 1) / 2 as a, rank() over (partition by lang order by length(source), doc_id % 17) + (count(*) over (partition by lang, length(source), doc_id % 17) - 1) / 2 as b from documents)
+@query("WIN8_spearman_by_language", """with r as (select lang, rank() over (partition by lang order by n_chars) + (count(*) over (partition by lang, n_chars) - 1) / 2 as a, rank() over (partition by lang order by length(source), doc_id % 17) + (count(*) over (partition by lang, length(source), doc_id % 17) - 1) / 2 as b from documents)
     select lang, round(corr(a, b), 9) as rho from r group by lang""")
 def spearman(t: Tables) -> DataFrame:
     d = t.documents.select("lang", "n_chars", F.struct(F.length("source").alias("x"), (F.col("doc_id") % 17).alias("y")).alias("z"))
@@ -159,42 +140,12 @@ def spearman(t: Tables) -> DataFrame:
     return R.average_rank(a, "z", ["lang"]).groupBy("lang").agg(F.round(F.corr("a", "rank"), 9).alias("rho"))
 
 
-@query("BOO23_BOO25_weighted_plan", f"select k, count(*) as weight from (select ('0x' || substr(sha256('5:' || draw || ':' || s), 1, 8))::bigint % 10 as k from (select unnest(range(40)) as draw), (select unnest(range(10)) as s)) group by 1")
-def weights(t: Tables) -> DataFrame:
-    clusters = t.spark.range(10).select(F.col("id").alias("_k"), F.lit(10).cast("long").alias("_m"))
-    return B.plan(clusters, [], 40, 5).groupBy(F.col("_k").alias("k")).agg(F.sum("weight").alias("weight"))
-
-
 @query("BOO26_ratio_with_infinity", "select p_brand, case when sum(p_size % 2) filter (p_size < 5) = 0 then 'Infinity'::double else round(sum(p_size % 3) / sum(p_size % 2) filter (p_size < 5), 9) end as ratio from part group by 1")
 def infinite(t: Tables) -> DataFrame:
     den = F.sum(F.when(F.col("p_size") < 5, F.col("p_size") % 2))
     return t.part.groupBy("p_brand").agg(F.when(den == 0, float("inf")).otherwise(F.round(F.try_divide(F.sum(F.col("p_size") % 3), den), 9)).alias("ratio"))
 
 
-@query("SIM2_SIM3_power_simulation")
-def power(t: Tables) -> DataFrame:
-    """Share of simulated studies whose paired difference is significant, per scenario; each row has its own seed."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for sim, pairs, effect in zip(b["sim"], b["pairs"], b["effect"], strict=True):
-                r = np.random.default_rng([int(sim), int(pairs), int(1000 * effect)])
-                d = r.binomial(8, 0.5 + effect, pairs) / 8 - r.binomial(8, 0.5, pairs) / 8
-                out.append(abs(d.mean()) > 1.96 * d.std(ddof=1) / np.sqrt(pairs))
-            yield b.assign(significant=out)
-
-    grid_ = t.spark.range(200).withColumnRenamed("id", "sim").withColumn("pairs", F.explode(F.array(F.lit(50), F.lit(100)))).withColumn("effect", F.explode(F.array(F.lit(0.0), F.lit(0.1))))
-    done = grid_.mapInPandas(run, "sim long, pairs int, effect double, significant boolean")
-    return done.groupBy("pairs", "effect").agg(F.avg(F.col("significant").cast("int")).alias("power"))
-
-
-@query("GLM2_residuals", "select o_orderpriority, o_orderstatus, round(avg(r), 4) as mean from (select o_orderpriority, o_orderstatus, o_totalprice - avg(o_totalprice) over (partition by o_orderpriority) as r from orders) group by all")
-def residuals(t: Tables) -> DataFrame:
-    r = F.col("o_totalprice") - F.avg("o_totalprice").over(Window.partitionBy("o_orderpriority"))
-    return t.orders.select("o_orderpriority", "o_orderstatus", r.alias("r")).groupBy("o_orderpriority", "o_orderstatus").agg(F.round(F.avg("r"), 4).alias("mean"))
-
-
 @query("WRK1_WRK2_WRK4_observation_plan", """select n_nationkey, member, ('0x' || substr(sha256('1:' || n_nationkey || ':' || member), 1, 2))::bigint % 2 = 0 as straight from nation, (select unnest(['a', 'b', 'blank']) as member)""")
 def observation_plan(t: Tables) -> DataFrame:
     at = t.nation.select("n_nationkey", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("blank"))).alias("member"))
@@ -207,7 +158,7 @@ def conditions(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", F.explode(F.array(*cells)).alias("c")).select("n_nationkey", "c.*")
 
 
-@query("WRK8_WRK12_CMP25_selection_audit", "select least(c_nationkey, s_nationkey) as a, greatest(c_nationkey, s_nationkey) as b, count(*) as n from customer join supplier on c_custkey % 50 = s_suppkey % 50 and c_custkey < 200 group by all having count(*) > 1")
+@query("shared_products_of_nations", "select least(c_nationkey, s_nationkey) as a, greatest(c_nationkey, s_nationkey) as b, count(*) as n from customer join supplier on c_custkey % 50 = s_suppkey % 50 group by all having count(*) > 1")
 def pairs_twice(t: Tables) -> DataFrame:
     side = lambda d, key, nation: d.groupBy((F.col(key) % 50).alias("k"), F.col(nation).alias(nation)).agg(F.count("*").alias(f"_{nation}"))
     at = side(t.customer, "c_custkey", "c_nationkey").join(side(t.supplier, "s_suppkey", "s_nationkey"), "k")
@@ -255,7 +206,7 @@ def forms(t: Tables) -> DataFrame:
     return t.documents.groupBy(M.normal_form_udf()("text").alias("form")).agg(F.count("*").alias("n"))
 
 
-@query("TXT27_TXT28_windows")
+@query("TXT27_windows")
 def phrase_windows(t: Tables) -> DataFrame:
     w = t.documents.select("doc_id", F.explode(M.windows_udf(40)("text")).alias("w"))
     return w.select("doc_id", "w.start", "w.end")

@@ -87,7 +87,7 @@ def unanswered(t: Tables) -> DataFrame:
 _SPANS = """(select user_id, event_id, epoch_us(ts) as s, epoch_us(ts) + 1000000 * (1 + event_id % 50) * 60 as e from events)"""
 
 
-@query("JOI12_JOI13_overlap_join", f"select count(*) as pairs, count(distinct a.event_id) as events from {_SPANS} as a join {_SPANS} as b on a.user_id = b.user_id and a.event_id < b.event_id and b.s < a.e and b.e > a.s")
+@query("overlapping_events", f"select count(*) as pairs, count(distinct a.event_id) as events from {_SPANS} as a join {_SPANS} as b on a.user_id = b.user_id and a.event_id < b.event_id and b.s < a.e and b.e > a.s")
 def overlap(t: Tables) -> DataFrame:
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     spans = t.events.select("user_id", "event_id", at.alias("start"), (at + 1000000 * (1 + F.col("event_id") % 50) * 60).alias("end"))

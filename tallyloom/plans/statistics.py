@@ -64,16 +64,6 @@ def efficiency(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_linestatus").agg(F.round(F.percentile("l_extendedprice", 0.5), 4).alias("middle"), F.max("l_quantity").alias("peak"), F.round(F.avg((F.col("l_tax") > 0.04).cast("int")), 9).alias("share"), F.bool_and(F.col("l_quantity") >= 1).alias("sound"))
 
 
-@query("AGG15_AGG16_precision_recall", """with c as (select p_brand, sum(p_size % 5)::bigint as correct, sum(p_size % 5 + p_size % 3)::bigint as reference_marks, sum(p_size % 5 + p_size % 2)::bigint as output_marks from part group by 1), r as (select p_brand, correct / nullif(output_marks, 0) as p, correct / nullif(reference_marks, 0) as r from c)
-    select p_brand, round(p, 9) as precision, round(r, 9) as recall, round(case when p is null or r is null then null when p + r = 0 then 0.0 else 2 * p * r / (p + r) end, 9) as f1 from r""")
-def prf(t: Tables) -> DataFrame:
-    m = F.col("p_size")
-    c = t.part.groupBy("p_brand").agg(F.sum(m % 5).alias("c"), F.sum(m % 5 + m % 3).alias("r"), F.sum(m % 5 + m % 2).alias("o"))
-    c = c.select("p_brand", F.try_divide("c", "o").alias("p"), F.try_divide("c", "r").alias("r"))
-    f1 = F.when(F.col("p").isNull() | F.col("r").isNull(), None).when(F.col("p") + F.col("r") == 0, 0.0).otherwise(2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r")))
-    return c.select("p_brand", F.round("p", 9).alias("precision"), F.round("r", 9).alias("recall"), F.round(f1, 9).alias("f1"))
-
-
 @query("AGG22_outcome_shares", "select event_type, count(*) as n, round(count(*) / sum(count(*)) over (), 9) as share from events group by 1")
 def shares(t: Tables) -> DataFrame:
     n = t.events.groupBy("event_type").agg(F.count("*").alias("n"))
@@ -158,7 +148,7 @@ def consistency(t: Tables) -> DataFrame:
     return t.documents.groupBy("text").agg(F.count("*").alias("n"), (F.count_distinct(F.struct("lang", "source")) == 1).alias("same")).where("n > 1")
 
 
-@query("AGG57_AGG48_cells", "select p_brand, p_type, count(*) as n, round(avg(p_size), 9) as mean from part group by all having count(*) >= 3")
+@query("AGG48_cells", "select p_brand, p_type, count(*) as n, round(avg(p_size), 9) as mean from part group by all having count(*) >= 3")
 def cells(t: Tables) -> DataFrame:
     return t.part.groupBy("p_brand", "p_type").agg(F.count("*").alias("n"), F.round(F.avg("p_size"), 9).alias("mean")).where("n >= 3")
 
@@ -244,7 +234,7 @@ def auroc(t: Tables) -> DataFrame:
     return B.auroc(s, "n_chars", "y", ["lang"]).withColumn("auroc", F.round("auroc", 9))
 
 
-@query("DID2_DID3_DID4_difference_in_differences", f"""with {O.ARMS_SQL}, e as (select condition_id, doc_id, {_LEV} / length(reference) as cer from arms), p as (select doc_id, max(cer) filter (condition_id = 'FULL') as f, max(cer) filter (condition_id = 'A_50') as a, max(cer) filter (condition_id = 'B_50') as b from e group by 1)
+@query("DID1_difference_in_differences", f"""with {O.ARMS_SQL}, e as (select condition_id, doc_id, {_LEV} / length(reference) as cer from arms), p as (select doc_id, max(cer) filter (condition_id = 'FULL') as f, max(cer) filter (condition_id = 'A_50') as a, max(cer) filter (condition_id = 'B_50') as b from e group by 1)
     select count(*) as n, round(avg(a - f), 9) as delta_a, round(avg(b - f), 9) as delta_b, round(avg((b - f) - (a - f)), 9) as did from p where f is not null and a is not null and b is not null""")
 def did(t: Tables) -> DataFrame:
     arms = ["FULL", "A_50", "B_50"]
@@ -254,7 +244,7 @@ def did(t: Tables) -> DataFrame:
     return p.agg(F.count("*").alias("n"), F.round(F.avg(a), 9).alias("delta_a"), F.round(F.avg(b), 9).alias("delta_b"), F.round(F.avg(b - a), 9).alias("did"))
 
 
-@query("DEC1_DEC4_rules", """select o_orderkey, case when o_totalprice < 20000 then 'format_loss' when o_totalprice > 300000 then 'loop' when o_orderstatus = 'P' then 'omission' when o_orderpriority = '1-URGENT' then 'overgeneration' else 'misread' end as cause,
+@query("DEC4_rules", """select o_orderkey, case when o_totalprice < 20000 then 'format_loss' when o_totalprice > 300000 then 'loop' when o_orderstatus = 'P' then 'omission' when o_orderpriority = '1-URGENT' then 'overgeneration' else 'misread' end as cause,
     case when o_totalprice / 500000 - 0.1 >= 0.2 then 'ADEQUATE_HEADROOM' when o_totalprice / 500000 - 0.1 >= 0.1 then 'MARGINAL_HEADROOM' else 'FLOOR_LIMITED' end as headroom from orders""")
 def rules(t: Tables) -> DataFrame:
     p = F.col("o_totalprice")

@@ -28,7 +28,7 @@ def test_normal_form_of_late_characters(run):
 
 
 def test_windows_to_the_end(run):
-    got = run("TXT27_TXT28_windows", documents=documents(WORDS))
+    got = run("TXT27_windows", documents=documents(WORDS))
     assert len(got) == 30 and max(e for _, _, e in got) == len(WORDS.rstrip())
 
 
@@ -45,5 +45,5 @@ def test_customers_of_all_ids(run):
     customers = [(i, i % 7) for i in range(1, 1000, 3)] + [(None, 1)]
     suppliers = [(i, i * i % 11) for i in range(1, 120)]
     pairs = Counter((min(a, b), max(a, b)) for i, a in customers for k, b in suppliers if i is not None and i % 50 == k % 50)
-    got = run("WRK8_WRK12_CMP25_selection_audit", customer=(customers, "c_custkey long, c_nationkey int"), supplier=(suppliers, "s_suppkey long, s_nationkey int"))
+    got = run("shared_products_of_nations", customer=(customers, "c_custkey long, c_nationkey int"), supplier=(suppliers, "s_suppkey long, s_nationkey int"))
     assert sorted(got) == sorted((a, b, n) for (a, b), n in pairs.items() if n > 1)
