@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bucketed, drop_stored, rolling, stored
+from tallyloom.llm.common import BASE, bucketed, drop_stored, mixed, rolling, stored
 from tallyloom.llm.words import BYTES, Chunk, buffers, pieces, ragged, split
 
 #: Places that name a gram beyond which its windows are dealt one by one, by a hash of their whole content; of words and bytes.
@@ -64,11 +64,11 @@ def sliding(x: np.ndarray, w: int, best: np.ufunc) -> np.ndarray:
 
 
 def gram_values(h: np.ndarray, n: int) -> np.ndarray:
-    """32-bit hash, not 0, of each run of n units. Unlike grams with equal values only meet in one group."""
+    """64-bit hash, not 0, of each run of n units. Unlike grams with equal values only meet in one group; with fewer bits, they would in a large corpus."""
     x = rolling(h, n)
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (x >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    return np.maximum(x ^ (x >> np.uint64(32)), np.uint64(1))
 
 
 @dataclass
@@ -88,7 +88,7 @@ class Windows:
         """Places of the grams that are named."""
         if not len(self.at):
             return self.at
-        per = np.zeros(len(self.grams) + self.span - 1, np.uint32)
+        per = np.zeros(len(self.grams) + self.span - 1, np.uint64)
         per[self.at + self.span - 1] = self.least
         return np.flatnonzero((sliding(per, self.span, np.maximum) == self.grams) & self.covered)
 
@@ -106,7 +106,7 @@ def windows(column: pa.Array, scheme: Scheme) -> Iterator[Windows]:
         long = counts >= scheme.window
         at = ragged(edges[:-1][long], counts[long] - scheme.window + 1)
         if not len(at):
-            none = np.empty(0, np.uint32)
+            none = np.empty(0, np.uint64)
             yield Windows(c, edges, h, none, at, none, scheme.grams, np.empty(0, bool))
             continue
         grams = gram_values(h, scheme.gram)
@@ -116,7 +116,7 @@ def windows(column: pa.Array, scheme: Scheme) -> Iterator[Windows]:
 
 
 def regions(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """docs: key, text. One row per region: m (its gram, or a hash of its one window where the gram is hot), tid (64-bit hash of
+    """docs: key, text. One row per region: m (its gram, or another hash of its one window where the gram is hot), tid (64-bit hash of
     its content; with m it names the content), key, start, length and anchor (units; anchor: from start to the gram)."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +131,7 @@ def regions(docs: DataFrame, scheme: Scheme) -> DataFrame:
                 new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
                 first = np.flatnonzero(new)
                 n = np.diff(np.append(first, len(h)))
-                yield pa.RecordBatch.from_arrays([pa.array(h[first].astype(np.int64)), pa.array(k[first], pa.int64()), pa.array(n, pa.int32())], ["h", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(k[first], pa.int64()), pa.array(n, pa.int32())], ["h", "key", "n"])
 
     posted = stored(docs.mapInArrow(anchors, "h long, key long, n int"))
     repeated = posted.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h", (F.col("n") > HOT[scheme.bytes]).alias("hot"))
@@ -196,13 +196,17 @@ def cut(w: Windows, keys: np.ndarray, cool: pa.Array, hot: pa.Array, scheme: Sch
     runs = np.flatnonzero(new)
     of = np.searchsorted(w.edges, w.at[runs], "right") - 1
     texts = len(w.edges) - 1
-    wanted = (of.astype(np.uint64) << np.uint64(32)) | w.least[runs]
+
+    def named(texts_: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """A value for a gram of a text. Should two of them meet in one value, windows are looked at in vain, and none is lost."""
+        return mixed(grams + texts_.astype(np.uint64) * np.uint64(BASE))
+
+    wanted = named(of, w.least[runs])
 
     def among(lists: pa.Array) -> np.ndarray:
         own = lists.slice(w.chunk.first, texts)
         per = np.diff(own.offsets.to_numpy())
-        held = (np.repeat(np.arange(texts, dtype=np.uint64), per) << np.uint64(32)) | own.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
-        held.sort()
+        held = np.sort(named(np.repeat(np.arange(texts), per), own.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
         return held[np.minimum(np.searchsorted(held, wanted), len(held) - 1)] == wanted if len(held) else np.zeros(len(wanted), bool)
 
     single = among(hot)
@@ -226,8 +230,11 @@ def cut(w: Windows, keys: np.ndarray, cool: pa.Array, hot: pa.Array, scheme: Sch
     last = np.append(first[1:], len(at)) - 1
     begin, end = at[first], at[last] + scheme.window
     c = w.chunk
-    tid = np.array([xxhash.xxh3_64_intdigest(x) for x in slices(c, c.data.tobytes(), begin, end, scheme)], np.uint64).view(np.int64)
-    m = np.where(one[first], tid, least[first].astype(np.int64))
+    texts_of = slices(c, c.data.tobytes(), begin, end, scheme)
+    tid = np.array([xxhash.xxh3_64_intdigest(x) for x in texts_of], np.uint64).view(np.int64)
+    m = least[first].view(np.int64).copy()
+    alone = np.flatnonzero(one[first])  # with tid, 128 bits name the window
+    m[alone] = np.array([xxhash.xxh3_64_intdigest(texts_of[k], 1) for k in alone], np.uint64).view(np.int64)
     columns = [m, tid, keys[c.first + of[first]], begin - w.edges[of[first]], (end - begin).astype(np.int32), (place[first] - begin).astype(np.int32)]
     yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["m", "tid", "key", "start", "length", "anchor"])
 
