@@ -182,13 +182,12 @@ def cause(d: dict[str, Column]) -> Column:
     )
 
 
-@query("KRN31_TXT4_REP3_DEC1_diagnosis")
-def diagnosis(t: Tables) -> DataFrame:
-    """Rates under three normalisations, shares and the primary cause of each output."""
+def diagnosed(r: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns to keep, rates of reference and output under three normalisations, shares and the primary cause."""
     plain, structural = X.normalize_markup, G.text_udf(G.unwrap_structure)
-    r = records(t.documents).withColumn("delooped", G.text_udf(G.without_loop)("output"))
+    r = r.withColumn("delooped", G.text_udf(G.without_loop)("output"))
     n = r.select(
-        "doc_id", F.length("output").alias("raw"), F.length("delooped").alias("kept"), X.thai_count(F.col("output")).alias("thai"), plain("reference").alias("r"), plain("output").alias("h"),
+        *keep, F.length("output").alias("raw"), F.length("delooped").alias("kept"), X.thai_count(F.col("output")).alias("thai"), plain("reference").alias("r"), plain("output").alias("h"),
         plain(structural("reference")).alias("rs"), plain(structural("output")).alias("hs"), plain(structural("delooped")).alias("hd"),
     )
     edits = F.pandas_udf(lambda a, b: a.combine(b, G.edit_distance), "long")
@@ -198,7 +197,13 @@ def diagnosis(t: Tables) -> DataFrame:
         "thai_lost": F.greatest(F.lit(0), F.col("thai") - X.thai_count(F.col("h"))), "looped": (F.col("raw") - F.col("kept")) / F.greatest(F.lit(1), F.col("raw")),
         "recall": F.col("b.common") / F.greatest(F.lit(1), F.col("b.reference_bag")), "precision": F.col("b.common") / F.greatest(F.lit(1), F.col("b.hypothesis_bag")),
     }
-    return n.select("doc_id", *(v.alias(k) for k, v in d.items()), cause(d).alias("cause"))
+    return n.select(*keep, *(v.alias(k) for k, v in d.items()), cause(d).alias("cause"))
+
+
+@query("KRN31_TXT4_REP3_DEC1_diagnosis")
+def diagnosis(t: Tables) -> DataFrame:
+    """Rates under three normalisations, shares and the primary cause of each output."""
+    return diagnosed(records(t.documents), ["doc_id"])
 
 
 def stop_outputs(r: DataFrame) -> DataFrame:
