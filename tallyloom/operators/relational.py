@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import digest
+from tallyloom.operators.storage import written
 
 
 def complete_cases(df: DataFrame, item: str, arm: str, arms: Sequence[str]) -> DataFrame:
@@ -26,10 +27,25 @@ def paired(df: DataFrame, item: str, arm: str, base: str, other: str, columns: S
     return wide.select(item, *(F.col(f"b.{c}").alias(f"base_{c}") for c in columns), *(F.col(f"o.{c}").alias(f"arm_{c}") for c in columns))
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Adds the place of each row in an order of the whole table, from 0; no task holds more than its range of it.
+
+    Rows are sorted by ranges and written. A row's place in its range is known there; what lies before a range is the sum of the
+    sizes of those before it, one number a range. The order must be of all rows, or ties fall as they come.
+    """
+    held = written(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = held.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # a row a range
+    out = held.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "_before")
+
+
 def hash_rank(df: DataFrame, item: str, strata: Sequence[str], seed: int | str, name: str = "rank") -> DataFrame:
     """Rank of each row in its stratum by digest of seed and item; ties by item."""
-    order = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
-    return df.withColumn(name, F.row_number().over(order.orderBy(digest(seed, F.col(item)), item)))
+    if not strata:
+        return numbered(df, [digest(seed, F.col(item)), F.col(item)], name).withColumn(name, F.col(name) + 1)
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*strata).orderBy(digest(seed, F.col(item)), item)))
 
 
 def stratified_split(df: DataFrame, item: str, strata: Sequence[str], share: float, seed: int | str) -> DataFrame:
@@ -44,13 +60,13 @@ def first_of_each(df: DataFrame, item: str, strata: Sequence[str], n: int, seed:
 
 def sharded(df: DataFrame, order: str, shards: int) -> DataFrame:
     """Adds shard: rows in order, dealt in turn."""
-    return df.withColumn("shard", (F.row_number().over(Window.orderBy(order)) - 1) % shards)
+    return numbered(df, [F.col(order)], "shard").withColumn("shard", F.col("shard") % shards)
 
 
 def rotated(df: DataFrame, item: str, arms: Sequence[str], seed: int | str) -> DataFrame:
     """Adds position and first_arm: items in hash order take the arms' rotations in turn."""
-    k = F.row_number().over(Window.orderBy(digest(seed, F.col(item)), item)) - 1
-    return df.withColumn("position", k).withColumn("first_arm", F.element_at(F.array(*map(F.lit, arms)), (F.col("position") % len(arms)).cast("int") + 1))
+    placed = numbered(df, [digest(seed, F.col(item)), F.col(item)], "position")
+    return placed.withColumn("first_arm", F.element_at(F.array(*map(F.lit, arms)), (F.col("position") % len(arms)).cast("int") + 1))
 
 
 def argmax_rows(df: DataFrame, keys: Sequence[str], score: str, ties: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import text as X
 from tallyloom.operators import guards as G
 from tallyloom.operators import relational as R
+from tallyloom.operators.order_statistics import nth_values
 from tallyloom.plans import observations as O
 from tallyloom.plans.registry import Tables, query
 
@@ -69,7 +70,7 @@ def workload(t: Tables) -> DataFrame:
     at = t.nation.select("n_nationkey", F.explode(F.array(F.lit("BASE"), F.lit("SPECIALIZED"))).alias("model"))
     at = at.withColumn("budget", F.explode(F.array(*map(F.lit, (64, 100, 150))))).withColumn("member", F.explode(F.array(F.lit("a"), F.lit("b"))))
     at = G.assert_unique(at, ["model", "n_nationkey", "budget", "member"])
-    return at.withColumn("call_index", F.row_number().over(Window.orderBy("model", "n_nationkey", "budget", "member")))
+    return R.numbered(at, [F.col(c) for c in ("model", "n_nationkey", "budget", "member")], "call_index").withColumn("call_index", F.col("call_index") + 1)
 
 
 @query("JOI7_DID7_matched_blank", """select o.o_orderkey, round(o.o_totalprice - b.blank, 4) as gain from orders as o left join (select o_orderpriority, avg(o_totalprice) as blank from orders where o_orderstatus = 'P' group by 1) as b using (o_orderpriority) where o_orderstatus = 'F'""")
@@ -175,7 +176,7 @@ def top(t: Tables) -> DataFrame:
 
 @query("WIN10_lowest_share_threshold", "select p_brand, list_sort(list(p_retailprice))[ceil(0.1 * count(*))::int] as threshold from part group by 1")
 def threshold(t: Tables) -> DataFrame:
-    return t.part.groupBy("p_brand").agg(F.element_at(F.sort_array(F.collect_list("p_retailprice")), F.ceil(0.1 * F.count("*")).cast("int")).alias("threshold"))
+    return nth_values(t.part, ["p_brand"], "p_retailprice", {"threshold": F.ceil(0.1 * F.col("n")) - 1}).select("p_brand", "threshold")
 
 
 @query("WIN13_line_spans", "select conv_id, turn, coalesce(sum(length(text) + 1) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0)::bigint as start from conversations")

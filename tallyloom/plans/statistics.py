@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as X
 from tallyloom.operators import relational as R
 from tallyloom.operators import resample as B
+from tallyloom.operators.order_statistics import nth_values
 from tallyloom.plans import observations as O
 from tallyloom.plans.registry import Tables, query
 
@@ -44,9 +45,17 @@ def heterogeneity(t: Tables) -> DataFrame:
     )
 
 
+def _medians(df: DataFrame, group: str, value: str, digits: int, **positions: Column) -> DataFrame:
+    """group, n, middle (the mean of the two middle values) and values at other positions; exact, and no group is gathered."""
+    n = F.col("n")
+    at = nth_values(df, [group], value, {"_a": F.floor((n - 1) / 2), "_b": F.floor(n / 2), **positions})
+    return at.withColumn("middle", F.round((F.col("_a") + F.col("_b")) / 2, digits)).drop("_a", "_b")
+
+
 @query("AGG5_CMP2_latency", "select event_type, count(value) as n, round(median(value), 6) as middle, min(value) as lowest, max(value) as highest, round(sum(value), 4) as total from events group by 1")
 def latency(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type").agg(F.count("value").alias("n"), F.round(F.percentile("value", 0.5), 6).alias("middle"), F.min("value").alias("lowest"), F.max("value").alias("highest"), F.round(F.sum("value"), 4).alias("total"))
+    ends = t.events.groupBy("event_type").agg(F.min("value").alias("lowest"), F.max("value").alias("highest"), F.round(F.sum("value"), 4).alias("total"))
+    return ends.join(_medians(t.events, "event_type", "value", 6), "event_type").select("event_type", "n", "middle", "lowest", "highest", "total")
 
 
 @query("AGG7_AGG8_AGG9_AGG10_AGG11_KRN1_KRN5_cer_by_condition", f"""with {O.ARMS_SQL}, d as (select *, {_LEV} as d, length(reference) as n from arms)
@@ -61,7 +70,8 @@ def cer(t: Tables) -> DataFrame:
 
 @query("AGG13_AGG14_efficiency", "select l_linestatus, round(median(l_extendedprice), 4) as middle, max(l_quantity) as peak, round(avg((l_tax > 0.04)::int), 9) as share, bool_and(l_quantity >= 1) as sound from lineitem group by 1")
 def efficiency(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_linestatus").agg(F.round(F.percentile("l_extendedprice", 0.5), 4).alias("middle"), F.max("l_quantity").alias("peak"), F.round(F.avg((F.col("l_tax") > 0.04).cast("int")), 9).alias("share"), F.bool_and(F.col("l_quantity") >= 1).alias("sound"))
+    rest = t.lineitem.groupBy("l_linestatus").agg(F.max("l_quantity").alias("peak"), F.round(F.avg((F.col("l_tax") > 0.04).cast("int")), 9).alias("share"), F.bool_and(F.col("l_quantity") >= 1).alias("sound"))
+    return rest.join(_medians(t.lineitem, "l_linestatus", "l_extendedprice", 4).drop("n"), "l_linestatus")
 
 
 @query("AGG22_outcome_shares", "select event_type, count(*) as n, round(count(*) / sum(count(*)) over (), 9) as share from events group by 1")
@@ -167,8 +177,7 @@ def products(t: Tables) -> DataFrame:
 
 @query("AGG67_control_quantiles", "select event_type, round(median(value), 6) as middle, list_sort(list(value))[(0.1 * count(value))::int + 1] as q10, list_sort(list(value))[floor(0.9 * count(value))::int + 1] as q90 from events group by 1")
 def control(t: Tables) -> DataFrame:
-    s, n = F.sort_array(F.collect_list("value")), F.count("value")
-    return t.events.groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("middle"), F.get(s, F.round(0.1 * n).cast("int")).alias("q10"), F.get(s, F.floor(0.9 * n).cast("int")).alias("q90"))
+    return _medians(t.events, "event_type", "value", 6, q10=F.round(0.1 * F.col("n")), q90=F.floor(0.9 * F.col("n"))).drop("n")
 
 
 @query("KRN18_KRN19_similarity_and_drift", f"with {O.PAIRS_SQL} select doc_id, round(1 - {_LEV} / greatest(length(reference), length(hypothesis), 1), 9) as similarity, round({_LEV} / greatest(1, length(reference)), 9) as drift from pairs")
