@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from tallyloom.llm import jaccard, substring, suffix
+from tallyloom.llm import jaccard, regions, substring, suffix
 from tallyloom.llm.components import components
 
 DOCS = "doc_id long, text string, key long, n long, fp string, label string, h long, m long"
@@ -180,7 +180,30 @@ def test_substrings_of_odd_rows(spark):
     assert substring.dedup_substrings(docs(spark, [])).count() == 0
 
 
-def test_suffixes(spark):
+def test_substrings_of_hot_grams(spark, monkeypatch):
+    """Grams named at more than a few places are dealt window by window."""
+    monkeypatch.setattr(regions, "HOT", {False: 3, True: 3})
+    rows = corpus(20, 150)
+    got = substring.dedup_substrings(docs(spark, rows), 20, digest=True)
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == expected_words(rows, 20)
+
+
+def test_grams_have_64_bits():
+    import numpy as np
+
+    from tallyloom.llm.words import BYTES
+
+    data = np.random.default_rng(1).integers(0, 256, 400_000, np.uint8)
+    grams = regions.gram_values(BYTES[data], 16)
+    assert grams.dtype == np.uint64 and grams.min() > 0 and len(np.unique(grams)) == len(grams)
+    assert abs((grams & np.uint64(1)).mean() - 0.5) < 0.01 and abs((grams >> np.uint64(63)).mean() - 0.5) < 0.01
+
+
+@pytest.mark.parametrize(("hot", "part", "run"), [(100_000, 20_000, 50_000), (3, 5, 7), (100_000, 4, 3)])
+def test_suffixes(spark, monkeypatch, hot, part, run):
+    monkeypatch.setattr(regions, "HOT", {False: hot, True: hot})
+    monkeypatch.setattr(suffix, "PART", part)
+    monkeypatch.setattr(suffix, "RUN", run)
     rows = corpus(3, 120)
     texts = {k: (t or "").encode() for k, t in rows}
     at = Counter(t[i : i + 200] for t in texts.values() for i in range(len(t) - 199))
