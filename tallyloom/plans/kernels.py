@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import kernels as K
+from tallyloom.functions import reading as G
 from tallyloom.plans import observations as O
 from tallyloom.plans.registry import Tables, query
 
@@ -17,6 +18,13 @@ def errors(t: Tables) -> DataFrame:
     return e.select("doc_id", total.alias("errors"))
 
 
+@query("KRN2_KRN3_KRN4_line_distances", f"with {O.PAIRS_SQL} select doc_id, levenshtein(reference, hypothesis) as edits from pairs")
+def line_distances(t: Tables) -> DataFrame:
+    """Distances of all lines, with the matrix's columns as bits."""
+    udf = F.pandas_udf(lambda a, b: a.combine(b, G.edit_distance), "long")
+    return O.pairs(t.documents).select("doc_id", udf("reference", "hypothesis").alias("edits"))
+
+
 @query("KRN7_KRN14_anchored_cer")
 def anchored(t: Tables) -> DataFrame:
     p = O.pairs(t.documents).withColumn("a", K.anchored_udf()("reference", F.concat(F.lit("before "), "hypothesis", F.lit(" after"))))
