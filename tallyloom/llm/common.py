@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import time
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,29 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Bytes of text that Spark sends to Python at a time, at most, beside one row that has more.
+BATCH_BYTES = 8 << 20
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """Let Spark send at most BATCH_BYTES to Python at a time, from now on in this session; a lower setting stays.
+
+    A batch is held by the executor's JVM and by its Python at once, in buffers that grow by doubling and stay with both.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)))
+    if now > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+def give_back() -> None:
+    """Return the memory that this Python process holds free to the system; a worker that waits for its next task keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
@@ -64,6 +89,10 @@ def drop_stored(*frames: DataFrame) -> None:
         delete(df.sparkSession, df._stored_at)
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    _kept.append((spark, path))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
