@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import stored
+from tallyloom.llm.common import give_back, stored
 from tallyloom.llm.words import chunks, ragged
 
 CAPACITY = 2048
@@ -168,6 +168,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
                 yield from bins.batch(20_000)
         bins.rest(False)
         yield from bins.batch()
+        give_back()
 
     def again(level: int, last: bool) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

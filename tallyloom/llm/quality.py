@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import broadcast_if_small, stored, unused
+from tallyloom.llm.common import broadcast_if_small, give_back, stored, unused
 from tallyloom.llm.words import chunks
 
 #: Labelled rows that are fitted at most: those of least hash. The only bounded sample; everything else covers all rows.
@@ -66,6 +66,7 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
             out = [np.where(n > 0, x, 0.0) for x in out]
             yield pa.RecordBatch.from_arrays([b.column(0).slice(c.first, docs), b.column(1).slice(c.first, docs), *map(pa.array, out)], ["doc_id", "th", *NAMES])
+    give_back()
 
 
 @dataclass(frozen=True)
