@@ -3,9 +3,11 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -151,3 +153,38 @@ def test_pipeline(spark, tmp_path):
     assert ids[3] < ids[2] and ids[4] == ids[3]
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert Counter(map(tuple, whole.collect())) == Counter(map(tuple, at.collect()))
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in any column, ids that repeat or are missing, empty and very long texts, columns of other names; then no rows at all."""
+    rows, labels = corpus(60)
+    kind = "doc_id long, text string, lang string, source string, n_chars long, fp string, `_lost` int, label string"
+    odd = [(500, None, None, None), (501, "", None, "big"), (502, " \n ", "en", None), (None, rows[1][1], "en", "big"), (None, None, None, None), (3, rows[3][1], "en", "big"), (3, rows[4][1], "en", "big"), (503, "word " * 60_000, "en", "big"), (504, "x" * 300_000, None, "s1")]
+    table = [(i, t, lang, s, None, "f", 7, None) for i, t, lang, s in rows + odd]
+    spark.createDataFrame(table, kind).write.parquet(str(tmp_path / "a/documents.parquet"))
+    marks = spark.createDataFrame([*labels, (None, 1), (500, None)], "doc_id long, quality int").withColumn("toxic", F.lit(None).cast("int"))
+    marks.write.parquet(str(tmp_path / "a/labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "a")).toPandas()
+    assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(got.columns) and len(got) > 20
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert list(g["offset"]) == [0, *g["length"].cumsum()[:-1]] and g["length"].sum() <= 2048
+    spark.createDataFrame([], kind).write.parquet(str(tmp_path / "b/documents.parquet"))
+    marks.write.parquet(str(tmp_path / "b/labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_a_pipeline_that_fails_leaves_nothing(spark, tmp_path, monkeypatch):
+    rows, labels = corpus(30)
+    spark.createDataFrame([(i, t, lang, s, None) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int").withColumn("toxic", F.lit(0)).write.parquet(str(tmp_path / "labels.parquet"))
+    folder = Path(corpus_pipeline.shared_dir(spark)) / "tallyloom"
+    before = set(folder.glob("pipeline-*"))
+
+    def broken(spark, docs, sf_dir):
+        raise RuntimeError("stopped here")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*corpus_pipeline.STAGES[:2], ("broken", broken)])
+    with pytest.raises(RuntimeError, match="stopped here"):
+        corpus_pipeline.run(spark, str(tmp_path))
+    assert set(folder.glob("pipeline-*")) == before
