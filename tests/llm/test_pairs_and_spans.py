@@ -97,6 +97,22 @@ def test_classes_of_pairs_with_appended_text(spark):
     assert sorted(tuple(x) for x in got.select("doc_id", "n_shingles", "component_id").collect()) == want
 
 
+def test_classes_by_parts(spark):
+    rows = near_copies_for_parts()
+    whole = sorted(tuple(r) for r in jaccard.classes(docs(spark, rows), 3, 60, 100).collect())
+    assert sorted(tuple(r) for r in jaccard.classes(docs(spark, rows), 3, 60, 100, posts=7).collect()) == whole == expected_classes(rows, 3, 60, 100)
+    schema = "fp binary, n long, odd int, sigs array<long>"
+    nodes = spark.createDataFrame([(bytes([k]), 9, 9, [1, 2, 3, 10 + k]) for k in range(9)], schema)
+    met = jaccard.lists_by_parts(nodes, 60, 100, 6)
+    assert len(met._parts) == 6 and sorted((r.sig, r.c) for r in met.collect()) == sorted((s, 9) for s in (1, 2, 3) for _ in range(9))
+
+
+def near_copies_for_parts():
+    draw = random.Random(12)
+    base = [[draw.choice("abcdefgh") * 2 for _ in range(30)] for _ in range(6)]
+    return [(k, " ".join(base[k % 6][: 30 - k % 5])) for k in range(30)]
+
+
 @pytest.mark.parametrize(("short", "rounds"), [(2, 0), (3, 5)])
 def test_classes_of_families(spark, short, rounds):
     r, rows = random.Random(short + rounds), []
