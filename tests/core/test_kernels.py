@@ -106,3 +106,26 @@ def test_rows_made_again_give_the_same_alignment(monkeypatch, cells):
     whole = [(K.align(a, b), K.align_anchored(a, b), K.best_window(a, b)) for a, b in pairs]
     monkeypatch.setattr(K, "MOST_CELLS", cells)
     assert [(K.align(a, b), K.align_anchored(a, b), K.best_window(a, b)) for a, b in pairs] == whole
+
+
+def test_lines_are_found_in_one_pass(monkeypatch):
+    lines, text = [t for t in some(9, 60) if t], "".join(some(10, 60))
+    want = []
+    for line in lines:
+        costs = [min(plain(line, text[i:j]) for i in range(j + 1)) for j in range(len(text[:40]) + 1)]
+        want.append((costs.index(min(costs)), min(costs)))
+    for size in (50, 4 << 20):
+        monkeypatch.setattr(K, "BLOCK_BYTES", size)
+        assert [(end, best) for _, end, best in K.reaches(lines, text[:40])] == want
+
+
+def test_equal_ends_and_parts_need_no_matrix(monkeypatch):
+    monkeypatch.setattr(K, "EditMatrix", None)
+    a = "abcab" * 20_000
+    assert [j for _, j in K.align(a, a.replace("c", ""))].count(None) == 20_000
+    assert [i for i, _ in K.align(a[:50_000], a)].count(None) == 50_000
+
+
+def test_units_that_may_loop_are_few():
+    text = "".join(chr(97 + (i * i * 7 + i // 3) % 23) for i in range(3000))
+    assert len(K._units(K._codes(text), 4, 49, 28)) < 46 and 11 in K._units(K._codes(text + " over again" * 30), 4, 49, 28)
