@@ -6,7 +6,9 @@ import pytest
 
 from tallyloom.functions import kernels as K
 from tallyloom.functions import markup as M
+from tallyloom.functions import reading as G
 from tallyloom.operators import relational as R
+from tallyloom.plans import comparisons, reading
 
 CASES = [("", ""), ("", "abc"), ("abc", ""), ("kitten", "sitting"), ("ไฟฟ้า น้ำ", "ไฟฟา น้ำ"), ("aaaa", "aa")]
 
@@ -129,3 +131,46 @@ def test_equal_ends_and_parts_need_no_matrix(monkeypatch):
 def test_units_that_may_loop_are_few():
     text = "".join(chr(97 + (i * i * 7 + i // 3) % 23) for i in range(3000))
     assert len(K._units(K._codes(text), 4, 49, 28)) < 46 and 11 in K._units(K._codes(text + " over again" * 30), 4, 49, 28)
+
+def no_matrix(*_):
+    raise AssertionError("an edit matrix where none is needed")
+
+
+def test_replaced_characters_need_no_matrix(monkeypatch):
+    monkeypatch.setattr(K, "_Columns", no_matrix)
+    a = "bacd ef " * 300
+    b = a.replace("a", "z")
+    assert K.align(a, b) == [(i, i) for i in range(len(a))]
+    assert G.edit_distance(a, b) == 300 and K.best_window(a, b) == (300, 0, len(a))
+    assert K.best_window(a, a.replace("c", "")) == (300, 0, len(a) - 300) and K.best_window("cd e", a) == (0, 2, 6)
+    assert K.align_anchored("abcd efg", "xabcd efg" * 2) == ([(i, i + 1) for i in range(8)], 1, 9)
+
+
+def test_lines_are_found_around_their_pieces(monkeypatch):
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(900)]
+    lines = [" ".join(words[i : i + 30]) for i in range(0, 900, 30)]
+    output = "\n".join(lines).replace("a", "e")
+    want = []
+    for line in lines:
+        costs = K.bit_costs(K._codes(line), K._codes(output), free_start=True)
+        want.append((max(0, costs.index(min(costs)) - len(line) - min(costs)), costs.index(min(costs)), min(costs)))
+    passed, whole = [], K.bit_costs
+    monkeypatch.setattr(K, "bit_costs", lambda a, b, free_start=False: (passed.append(len(b)), whole(a, b, free_start))[1])
+    assert K.reaches(lines, output) == want and sum(passed) < 4 * len(output)
+
+
+def test_units_that_stand_twice_are_no_runs():
+    draw = random.Random(6)
+    text = "".join(draw.choice(["th", "er", "on", "an", "ing ", "tion"]) for _ in range(8000))
+    assert K._units(K._codes(text), 50, 400, 6) == [] and K.loop_onset(text, 8, 6) is None
+    assert K.loop_onset(text + "over again " * 9, 8, 6) == (len(text), 11)
+
+
+def test_equal_outputs_of_arms_are_aligned_once(monkeypatch):
+    asked, align = [], K.align
+    monkeypatch.setattr(K, "align", lambda a, b: (asked.append(b), align(a, b))[1])
+    assert comparisons.score("กาขา\nคา", "คา\nกาขา") == comparisons.score("กาขา\nคา", "คา\nกาขา")
+    assert asked.count("คา\nกาขา") == 1
+    monkeypatch.setattr(G, "edit_distance", lambda a, b: asked.append((a, b)) or 7)
+    assert reading.three_distances("ab", "c", "ab", "c", "c") == {"e": 7, "es": 7, "ed": 7} and asked.count(("ab", "c")) == 1
