@@ -107,6 +107,24 @@ def test_classes_by_parts(spark):
     assert len(met._parts) == 6 and sorted((r.sig, r.c) for r in met.collect()) == sorted((s, 9) for s in (1, 2, 3) for _ in range(9))
 
 
+def test_parts_make_each_signature_a_row_once(spark):
+    nodes = spark.createDataFrame([(bytes([k]), 9, 2, [-1, 2, 3, 10 + k, -7]) for k in range(9)], "fp binary, n long, odd int, sigs array<long>")
+
+    def made(plan) -> int:
+        own = plan.metrics().get("numOutputRows").get().value() if plan.nodeName().startswith("Generate") else 0
+        return own + sum(made(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    rows, found = 0, []
+    for k in range(4):
+        df = jaccard.posted(nodes, 90, 100, 4, k)
+        query = df._jdf.queryExecution()
+        query.executedPlan().executeCollect()
+        rows += made(query.executedPlan())
+        found += [(r.sig, r.rare) for r in df.collect()]
+    assert rows == 45
+    assert sorted(found) == sorted(p for k in range(9) for p in ((-1, True), (2, True), (3, False), (10 + k, False), (-7, False)))
+
+
 def near_copies_for_parts():
     draw = random.Random(12)
     base = [[draw.choice("abcdefgh") * 2 for _ in range(30)] for _ in range(6)]
