@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import struct
-from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import drop_stored, stored
@@ -21,6 +22,8 @@ GRAM = 16
 RUN, BLOCK = 50_000, 512
 #: Distinct regions that one merge should hold at most, on average.
 PART = 20_000
+#: Distinct regions that are searched together; a group of one gram is not split.
+TOGETHER = 4096
 
 _HEAD = struct.Struct("<HHHI")
 
@@ -112,61 +115,52 @@ def merge(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
             node //= 2
 
 
-def covered(group: list[tuple], window: int) -> Iterator[tuple[bytes, int, int]]:
-    """Of distinct regions with one gram, in order of the suffix from it on (shared, suffix, reversed left, name, copies; shared and
-    suffix with 8 bytes before): name and ranges (first, last) of the windows whose bytes occur in another of them too.
+def covered(records: list[tuple], window: int) -> Iterator[tuple[bytes, int, int]]:
+    """Of distinct regions of whole groups of one gram, in order of the suffix from it on (shared, suffix, reversed left, name, copies;
+    shared and suffix with the gram's 8 bytes before): name and ranges (first, last) of the windows whose bytes occur in another too.
 
-    Regions with equal suffixes form a class, sorted by left context, where the best match to the left is beside a region.
-    Classes further off share ever less to the right, so the search ends when that is too little or all the left is matched.
+    A window is so many bytes before its gram and the rest from it on. Regions that share the rest are an interval of the suffixes,
+    those that share what is before one of the left contexts, and a window repeats if two regions meet in both. So one pass over
+    all regions settles each length of what is before, however many regions a gram has: no region is held against the others.
     """
-    classes: list[tuple[int, bytes, list[tuple[bytes, bytes]]]] = []
-    for shared, suffix, left, tid, _ in group:
-        if classes and classes[-1][1] == suffix:
-            classes[-1][2].append((left, tid))
-        else:
-            classes.append((shared - 8, suffix, [(left, tid)]))
-    for _, _, members in classes:
-        members.sort()
-    for k, (_, suffix, members) in enumerate(classes):
-        size = len(suffix) - 8
-        for x, (left, tid) in enumerate(members):
-            last, best, found = len(left) + size - window, -1, []
-
-            def use(same: int, right: int, left=left, last=last, found=found) -> None:
-                i, e = max(0, len(left) - same), min(last, len(left) + right - window)
-                if i <= e:
-                    found.append((i, e + 1))
-
-            for y in (x - 1, x + 1):
-                if 0 <= y < len(members):
-                    best = max(best, common_prefix(left, members[y][0]))
-            if best >= 0:
-                use(best, size)
-            own = best
-            for way in (1, -1):
-                right, best, j = size, own, k
-                while best < len(left) and 0 <= j + way < len(classes):
-                    right = min(right, classes[j + 1][0] if way > 0 else classes[j][0])
-                    if right + len(left) < window:
-                        break
-                    j += way
-                    there = classes[j][2]
-                    at = bisect(there, (left,))
-                    same = max(common_prefix(left, there[y][0]) for y in (at - 1, at) if 0 <= y < len(there))
-                    if same > best:
-                        best = same
-                        use(same, right)
-            for i, e in merged(found):
-                yield tid, i, e - 1
+    n = len(records)
+    if n < 2:
+        return
+    right = np.array([r[0] for r in records]) - 8
+    group = np.cumsum(right < 0)
+    left = [r[2] for r in records]
+    order = sorted(range(n), key=lambda k: (group[k], left[k]))
+    before = np.array([-1] + [common_prefix(left[x], left[y]) if group[x] == group[y] else -1 for x, y in pairwise(order)])
+    ends = lambda lcp, least: np.cumsum(lcp < least)  # noqa: E731  numbers of classes, from 0 or 1 on
+    sizes = np.array([len(x) for x in left])
+    was, since = np.zeros(n, bool), np.zeros(n, int)
+    longest = int(sizes.max())
+    for a in range(min(longest, window) + 2):
+        hit = np.zeros(n, bool)
+        if a <= min(longest, window):
+            rest, own = ends(right, window - a), np.empty(n, int)
+            own[order] = ends(before, a)
+            pick = np.flatnonzero((np.bincount(rest)[rest] > 1) & (np.bincount(own)[own] > 1))
+            both = rest[pick] * (n + 1) + own[pick]
+            at = np.argsort(both)
+            same = both[at[1:]] == both[at[:-1]]
+            hit[pick[at[1:][same]]] = True
+            hit[pick[at[:-1][same]]] = True
+        since[hit & ~was] = a
+        for k in np.flatnonzero(was & ~hit).tolist():
+            yield records[k][3], int(sizes[k]) - a + 1, int(sizes[k] - since[k])
+        was = hit
 
 
 def repeated_bytes(docs: DataFrame, window: int) -> DataFrame:
     """docs: key, text. key and spans (arrays of start and end byte) covered by strings of `window` bytes that occur elsewhere too."""
     scheme = Scheme(True, window, min(GRAM, window))
     found = regions(docs, scheme)
-    once = stored(found.groupBy("m", "tid").agg(F.min(F.struct("key", "start")).alias("f"), F.first("length").alias("length"), F.first("anchor").alias("anchor"), F.count("*").alias("n")))
-    parts = max(1, -(-once.count() // PART))
-    distinct = contents(docs, once.select("m", "tid", "f.key", "f.start", "length", "anchor"), scheme)
+    once = found.groupBy("m", "tid").agg(F.min(F.struct("key", "start")).alias("f"), F.first("length").alias("length"), F.first("anchor").alias("anchor"), F.count("*").alias("n"))
+    once = stored(once.withColumn("alone", F.count("*").over(Window.partitionBy("m")) == 1))  # no other content has its gram
+    meet = once.where("not alone")
+    parts = max(1, -(-meet.count() // PART))
+    distinct = contents(docs, meet.select("m", "tid", "f.key", "f.start", "length", "anchor"), scheme)
     several = once.where("n > 1").select("m", "tid", F.lit(0).alias("i"), (F.col("length") - window).alias("e"))
 
     def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,16 +197,16 @@ def repeated_bytes(docs: DataFrame, window: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["m", "tid", "i", "e"])
 
         for part in sorted(held):
-            group: list[tuple] = []
+            groups: list[tuple] = []
             runs = [decoded([data for _, data in sorted(blocks)]) for _, blocks in sorted(held.pop(part).items())]
             for record in merge(runs):
-                if group and record[1][:8] != group[0][1][:8]:
-                    out += covered(group, window)
-                    group = []
+                if len(groups) >= TOGETHER and record[0] < 8:
+                    out += covered(groups, window)
+                    groups = []
                     if len(out) > 20_000:
                         yield batch()
-                group.append(record)
-            out += covered(group, window)
+                groups.append(record)
+            out += covered(groups, window)
         yield batch()
 
     runs = distinct.select("m", "tid", "content", "anchor").mapInArrow(sorted_runs, "part int, run long, block int, data binary")

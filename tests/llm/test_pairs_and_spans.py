@@ -263,3 +263,26 @@ def test_merge_keeps_common_prefixes():
     out = list(suffix.merge([suffix.decoded(list(suffix.front_coded(records[i::7]))) for i in range(7)]))
     assert [x[1] for x in out] == [x[0] for x in records]
     assert all(b[0] == suffix.common_prefix(a[1], b[1]) for a, b in zip(out, out[1:], strict=False))
+
+
+def test_regions_of_one_gram_are_not_held_against_each_other(monkeypatch):
+    r = random.Random(5)
+    some = lambda n: bytes(r.choice(b"ab") for _ in range(n))
+    window, gram, ends = 40, b"G" * 8, [some(32) for _ in range(6)]
+    regions_ = sorted({(m.to_bytes(8, "big") + gram + (r.choice(ends)[: r.randrange(33)] + some(32))[:32], (r.choice(ends)[: r.randrange(33)] + some(32))[:32]) for m in (1, 2) for _ in range(600)})
+    last, records = b"", []
+    for k, (suffix_, left) in enumerate(regions_):
+        records.append((suffix.common_prefix(last, suffix_), suffix_, left, k.to_bytes(16, "big"), 1))
+        last = suffix_
+    at = defaultdict(set)
+    for k, (suffix_, left) in enumerate(regions_):
+        text = left[::-1] + suffix_[8:]
+        for i in range(len(text) - window + 1):
+            at[suffix_[:8], len(left) - i, text[i : i + window]].add((k, i))
+    want = set().union(*(x for x in at.values() if len(x) > 1))
+    calls, plain = [], suffix.common_prefix
+    monkeypatch.setattr(suffix, "common_prefix", lambda *a: calls.append(a) or plain(*a))
+    found = list(suffix.covered(records, window))
+    got = [(int.from_bytes(tid, "big"), i) for tid, first, end in found for i in range(first, end + 1)]
+    assert set(got) == want and len(got) == len(want) and len(want) > 600
+    assert len(calls) <= len(records)  # once for each pair of neighbours
