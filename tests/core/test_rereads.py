@@ -135,3 +135,30 @@ def test_queries(spark, tmp_path):
     assert (budget.reached_max, budget.loop_raw, budget.loop_structural_cut_tag) == (4, 0, 4)
     assert all((x.onset is not None) == (x.conv_id % 2 == 0 or x.conv_id % 5 == 4) for x in run("REP12_near_onsets"))
     assert all(x.escaped == (x.conv_id % 5 == 4) and not x.capped for x in run("REP13_stop_only"))
+
+
+def test_runs_of_lines_are_settled_together(monkeypatch):
+    r = random.Random(6)
+    some = lambda n: "".join(r.choice("ab c่") for _ in range(n))
+    for _ in range(200):
+        references, wanted = [some(r.randrange(70)) for _ in range(r.randrange(1, 6))], some(r.randrange(90))
+        ends = [sorted(r.randrange(len(x) + 1) for _ in range(3)) + [len(x)] for x in references]
+        assert K.prefix_costs(references, ends, wanted) == [[G.edit_distance(x[:e], wanted) for e in own] for x, own in zip(references, ends, strict=True)]
+    lines, calls, plain = [some(40) + str(i) for i in range(30)], [], G.edit_distance
+    text = [x for x in (" ".join(line.split()) for line in lines) if x]
+    pointer = some(90)
+    wanted = " ".join(pointer.split())
+    runs = [(" ".join(text[i : i + n]), i, i + n) for n in range(1, 6) for i in range(len(text) - n + 1)]
+    best = max((1 - plain(wanted, run) / max(len(wanted), len(run)), -len(run), -i, j) for run, i, j in runs)
+    monkeypatch.setattr(G, "edit_distance", lambda *a: calls.append(a) or plain(*a))
+    got = V.pointed(pointer, "\n".join(lines), least=0.0)
+    assert (got["similarity"], -len(got["answer"]), -got["first"], got["last"]) == best
+    assert len(calls) == 1  # one run by itself, the others in passes of many
+
+
+def test_of_equally_similar_runs_the_shorter_is_found():
+    # the shorter run's similarity, as a quotient of lengths, is a rounding error less than 1 less its edits
+    n, size = next((n, s) for n in range(20, 200) for s in range(4 * n // 5, n - 2) if s / n < 1 - (n - s) / n)
+    lines = ["a" * size + "b", "a" * size]
+    got = V.pointed("a" * n, "\n".join(lines))
+    assert (got["answer"], got["first"], got["last"]) == (lines[1], 1, 2) and got["similarity"] == 1 - (n - size) / n
