@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import give_back, stored
+from tallyloom.llm.common import give_back, narrow_batches, stored
 from tallyloom.llm.words import chunks, ragged
 
 CAPACITY = 2048
@@ -21,6 +22,8 @@ CAPACITY = 2048
 TAIL = 64
 #: Tasks whose open bins meet in one task of the next level.
 FAN_IN = 32
+#: Words that are held with their ids, at most; words that the tokenizer gets at a time (it makes some 1 KB of each).
+MOST_WORDS, WORDS = 500_000, 2_000
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -32,7 +35,8 @@ class WordIds:
     Equal hashes of different words would mix up their ids; among ten million words the chance is 3e-6.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = MOST_WORDS):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for each core; threads would keep memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -57,14 +61,18 @@ class WordIds:
                 return self.slots(hashes, word)
             firsts = np.empty(len(unique), np.int64)
             firsts[codes[::-1]] = np.arange(len(codes))[::-1]
-            texts = [word(k).decode("utf-8", "replace") for k in firsts[missing]]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ids, counts = [self.ids], []
+            for i in range(0, len(missing), WORDS):
+                texts = [word(k).decode("utf-8", "replace") for k in firsts[missing[i : i + WORDS]]]
+                found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                counts += map(len, found)
+                ids.append(np.array([t for x in found for t in x], np.uint32))
             at[missing] = have + np.arange(len(missing))
             self.new = self.new.append(pd.Index(unique[missing]))
             if len(self.new) > 100_000:
                 self.old, self.new = self.old.append(self.new), self.new[:0]
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in found], dtype=np.int64)])
-            self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(counts, dtype=np.int64)])
+            self.ids = np.concatenate(ids)
         return at[codes]
 
 
@@ -84,6 +92,13 @@ def document_ids(column: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray]
             yield c.first + k, ids[bounds[k] : bounds[k + 1]]
 
 
+def forget() -> None:
+    """Let go of all words, so that a worker that waits for its next task holds the tokenizer only."""
+    for words in _cached.values():
+        words.clear()
+    give_back()
+
+
 def cuts(n: int, capacity: int = CAPACITY, tail: int = TAIL) -> list[int]:
     """Lengths of the pieces of a document of n ids: whole sequences, then halves of them (1/2, 1/4, ...), then a rest below tail."""
     out = [capacity] * (n // capacity)
@@ -168,7 +183,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
                 yield from bins.batch(20_000)
         bins.rest(False)
         yield from bins.batch()
-        give_back()
+        forget()
 
     def again(level: int, last: bool) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,9 +194,11 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
                 yield from bins.batch(20_000)
             bins.rest(last)
             yield from bins.batch()
+            give_back()
 
         return run
 
+    narrow_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     at = stored(texts.mapInArrow(first, _PIECE))
     out, level, workers = at.where("sequence_id is not null"), 1, max(1, texts.rdd.getNumPartitions())

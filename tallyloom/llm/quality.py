@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import broadcast_if_small, give_back, stored, unused
+from tallyloom.llm.common import broadcast_if_small, give_back, narrow_batches, stored, unused
 from tallyloom.llm.words import chunks
 
 #: Labelled rows that are fitted at most: those of least hash. The only bounded sample; everything else covers all rows.
@@ -128,6 +128,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Nulls: a null text is empty; labels or ids that are null aren't fitted; a null id is scored and not held out. Repeated
     rows are scored each. Other columns are ignored. Empty table: no rows; no labels: every row scores above the threshold.
     """
+    narrow_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).cast("string").alias("text"))
     table = stored(base.mapInArrow(features, "doc_id long, th long, " + ", ".join(f"{c} double" for c in NAMES)))
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))

@@ -5,7 +5,9 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +114,32 @@ def test_packing(spark):
         g = g.sort_values("offset")
         assert list(g["offset"]) == [0, *g["length"].cumsum()[:-1]] and g["length"].sum() <= 2048
     assert got["sequence_id"].nunique() * 2048 < 1.01 * got["length"].sum() + 2 * 2048
+
+
+def test_packing_leaves_no_words_with_its_workers(spark):
+    def held(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(w.old) + len(w.new) for w in packing._cached.values())], pa.int64())], ["id"])
+
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(200))) for i in range(200)]
+    assert packing.pack(docs(spark, rows).repartition(4), public_tokenizers.path("word_bpe_49k.json")).count() >= 200
+    assert {r.id for r in spark.range(0, 64, 1, 8).mapInArrow(held, "id long").collect()} == {0}
+
+
+def test_packing_tokenizes_few_words_at_a_time():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, sizes = packing.WordIds(path), []
+    real = words.tokenizer
+
+    class Watched:
+        def encode_batch_fast(self, texts, **options):
+            sizes.append(len(texts))
+            return real.encode_batch_fast(texts, **options)
+
+    words.tokenizer = Watched()
+    texts = [f"wörd{k * 7919}" for k in range(9001)]
+    at = words.slots(np.arange(9001, dtype=np.uint64), lambda k: texts[k].encode())
+    assert max(sizes) <= 2000
+    for k in (0, 1999, 2000, 2001, 5999, 6000, 9000):
+        assert words.ids[words.at[at[k]] : words.at[at[k] + 1]].tolist() == real.encode(texts[k], add_special_tokens=False).ids
