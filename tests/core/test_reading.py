@@ -17,6 +17,15 @@ def test_bit_parallel_distance():
     assert G.edit_split("ab", "cd", 8) == {"edits": 2, "insertions": None, "deletions": None, "substitutions": None}
 
 
+def test_edit_split_of_long_texts():
+    ref = "\n".join(f"line {k} of some text" for k in range(150))
+    out = "\n".join(ref.split("\n")[::-1])
+    assert len(ref) ** 2 > 4_000_000
+    s = G.edit_split(ref, out)
+    assert s["edits"] == G.edit_distance(ref, out) == s["insertions"] + s["deletions"] + s["substitutions"]
+    assert len(ref) - s["deletions"] == len(out) - s["insertions"]
+
+
 def test_order_free_counts():
     ref = "น้ำไหลไฟสว่าง\nบ้านใหญ่มากๆ"
     whole = G.order_free(ref, ref)
