@@ -18,9 +18,10 @@ def nth_values(df: DataFrame, groups: Sequence[str], value: str, positions: Mapp
     (from 0, an expression of n; held within 0 and n - 1) of the sorted values.
 
     Each pass splits the range in which a rank lies into equal buckets and counts them, map tasks first; the rank's bucket is the
-    next range. It ends when a bucket holds few rows or one value only. NaN takes no part.
+    next range. It ends when a bucket holds few rows or one value only. NaN takes no part. Groups and values are written once, so that
+    passes, and the filter, do not make again what they come from.
     """
-    rows = df.select(*groups, F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    rows = written(df.select(*groups, F.col(value).cast("double").alias("_v"))).where("_v is not null and not isnan(_v)")
     base = rows.groupBy(*groups).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     held = lambda p: F.least(F.greatest(p.cast("long"), F.lit(0)), F.col("n") - 1)
     wanted = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), held(p).alias("rank")) for k, p in positions.items())))

@@ -10,6 +10,7 @@ from tallyloom.functions import reading as G
 from tallyloom.functions import text as X
 from tallyloom.operators import sites as S
 from tallyloom.operators.order_statistics import nth_values
+from tallyloom.operators.storage import written
 from tallyloom.plans.contrasts import sized_plan_sql
 from tallyloom.plans.registry import Tables, query
 from tallyloom.plans.rereads import pages
@@ -74,10 +75,11 @@ def site_summary(t: Tables) -> DataFrame:
 def greedy_sites(t: Tables) -> DataFrame:
     """Sites of pages that the output has right, task by task, if it is below the task's chance threshold: the 5th percentile of the rates
     at which outputs fit the next page."""
-    r = pages(t.conversations).withColumn("task", F.col("conv_id") % 2)
+    r = written(pages(t.conversations).select("conv_id", (F.col("conv_id") % 2).alias("task"), "reference", "output"))  # four plans read it
     by = Window.partitionBy("task").orderBy("conv_id")
     ids = r.select("task", "conv_id").withColumns({"next": F.lead("conv_id").over(by), "first": F.first("conv_id").over(by)}).select("task", "conv_id", F.coalesce("next", "first").alias("other"))
     pairs = ids.where("conv_id <> other").join(r.where("reference <> ''").select("conv_id", "reference"), "conv_id").join(r.select(F.col("conv_id").alias("other"), "output"), "other")
+    pairs = pairs.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "conv_id")  # a distance costs the square of a page's length
     edits = G.each_udf(lambda a, b: {"edits": K.best_window(a, b)[0]}, "edits: long")("reference", "output")["edits"]
     chance = nth_values(pairs.select("task", (edits / F.length("reference")).alias("rate")), ["task"], "rate", {"located_below": F.floor(0.05 * F.col("n"))}).select("task", "located_below")
     at = r.join(F.broadcast(chance), "task", "left").withColumn("sites", X.mark_sites(F.col("reference")))  # one row a task

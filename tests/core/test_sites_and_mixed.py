@@ -3,11 +3,13 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import mixed as M
 from tallyloom.operators import sites as S
+from tallyloom.operators.order_statistics import nth_values
 from tallyloom.operators.storage import written
 
 KIND = f"id int, task string, sites array<{S.SITE}>"
@@ -169,3 +171,18 @@ def test_counting_keeps_the_likelihood(spark):
         x = np.array([list(r)[1:-1] for r in own])
         want += M.laplace(x, np.ones(len(own)), np.array([float(r.ok) for r in own]), np.array([r.s for r in own]), points)[0]
     assert got[0] == pytest.approx(want, rel=1e-9)
+
+
+def test_order_statistics_read_their_values_once(spark, tmp_path):
+    """Values may come from alignments: no pass makes them again."""
+    seen = tmp_path / "seen"
+
+    def made(x: pd.Series) -> pd.Series:
+        with seen.open("a") as f:
+            f.write("." * len(x))
+        return x * 1.0
+
+    rows = spark.range(0, 20_000, 1, 4).select((F.col("id") % 2).alias("g"), F.pandas_udf(made, "double")("id").alias("v"))
+    got = nth_values(rows, ["g"], "v", {"low": F.lit(3), "high": F.col("n") - 1}).collect()
+    assert sorted((r.g, r.n, r.low, r.high) for r in got) == [(0, 10_000, 6.0, 19_998.0), (1, 10_000, 7.0, 19_999.0)]
+    assert len(seen.read_text()) == 20_000
