@@ -90,10 +90,20 @@ def average_rank(df: DataFrame, score: str, groups: Sequence[str] = ()) -> DataF
 
 
 def deranged(df: DataFrame, order: str, groups: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Each row with the columns of the next one of its group, the last with the first's, as next_*."""
-    by = Window.partitionBy(*groups).orderBy(order)
-    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return df.withColumns({f"next_{c}": F.coalesce(F.lead(c).over(by), F.first(c).over(whole)) for c in columns})
+    """Each row with the columns of the next one of its group, the last with the first's, as next_*; a null there gives way to the first's.
+
+    Rows are sorted by ranges and written, so that no task holds a group, however large: a row's next one is in its range, but for the
+    last row of a group there, whose next one is the first of the group in a later range. These are one row a range and group.
+    """
+    rows = written(df)  # a sort by ranges reads its rows up to three times
+    held = written(rows.orderBy(*groups, order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    by, whole = Window.partitionBy(*groups).orderBy("_part"), Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = held.groupBy("_part", *groups).agg(F.min_by(F.struct(*columns), "_at").alias("_head"))
+    heads = heads.select(F.col("_part").alias("_p"), *(F.col(g).alias(f"_g{k}") for k, g in enumerate(groups)), F.lead("_head").over(by).alias("_later"), F.first("_head").over(whole).alias("_first"))
+    out = held.withColumn("_next", F.lead(F.struct(*columns)).over(Window.partitionBy("_part", *groups).orderBy("_at")))
+    met = [F.col("_part") == F.col("_p"), *(F.col(g).eqNullSafe(F.col(f"_g{k}")) for k, g in enumerate(groups))]
+    out = out.join(F.broadcast(heads), met).withColumn("_next", F.coalesce("_next", "_later"))
+    return out.select(*df.columns, *(F.coalesce(F.col("_next")[c], F.col("_first")[c]).alias(f"next_{c}") for c in columns))
 
 
 def overlaps(spans: DataFrame, others: DataFrame, key: str) -> DataFrame:

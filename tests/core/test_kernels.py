@@ -174,3 +174,14 @@ def test_equal_outputs_of_arms_are_aligned_once(monkeypatch):
     assert asked.count("คา\nกาขา") == 1
     monkeypatch.setattr(G, "edit_distance", lambda a, b: asked.append((a, b)) or 7)
     assert reading.three_distances("ab", "c", "ab", "c", "c") == {"e": 7, "es": 7, "ed": 7} and asked.count(("ab", "c")) == 1
+
+
+def test_many_distances():
+    r = random.Random(21)
+    text = lambda letters: "".join(r.choice(letters) for _ in range(r.choice([0, 1, 7, 63, 64, 65, 128, 129, r.randrange(300)])))
+    pairs = [(text(x), text(x)) for x in ("ab", "abc ก่", "aé\U0001f600\0ก") for _ in range(150)] + [("same", "same"), ("a", "b" * 3000), ("x" * 1500, "xy" * 600)]
+    alone = []
+    got = K.many_distances(pairs, lambda a, b: alone.append((a, b)) or plain(a, b))
+    assert got == [plain(a, b) for a, b in pairs]
+    assert ("x" * 1500, "xy" * 600) in alone and len(alone) < len(pairs) / 2  # most stand side by side
+    assert K.many_distances([], plain) == []

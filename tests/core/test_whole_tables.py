@@ -3,8 +3,10 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tallyloom.operators import relational as R
 
 WORDS = "word " * 300  # 1,500 characters
 
@@ -47,3 +49,15 @@ def test_customers_of_all_ids(run):
     pairs = Counter((min(a, b), max(a, b)) for i, a in customers for k, b in suppliers if i is not None and i % 50 == k % 50)
     got = run("shared_products_of_nations", customer=(customers, "c_custkey long, c_nationkey int"), supplier=(suppliers, "s_suppkey long, s_nationkey int"))
     assert sorted(got) == sorted((a, b, n) for (a, b), n in pairs.items() if n > 1)
+
+
+def test_derangement_of_one_large_group(spark):
+    """No task holds a group; a null gives way to the group's first value, as in the SQL."""
+    rows = spark.range(0, 40_000, 1, 4).select(F.when(F.col("id") % 1000 == 999, "few").when(F.col("id") % 1000 == 998, None).otherwise("many").alias("g"), "id", F.when(F.col("id") % 1000 != 500, F.concat(F.repeat(F.sha2(F.col("id").cast("string"), 512), F.lit(4)), "id")).alias("v"))
+    got = R.deranged(rows, "id", ["g"], ["v"]).withColumn("task", F.spark_partition_id()).toPandas()
+    assert got.loc[got.g == "many"].task.nunique() > 1
+    assert len(got) == 40_000
+    for _, own in got.sort_values("id").groupby("g", dropna=False):
+        v = [x if isinstance(x, str) else None for x in own.v]
+        assert [x if isinstance(x, str) else None for x in own.next_v] == [x or v[0] for x in v[1:] + v[:1]]
+    assert R.deranged(rows.limit(0), "id", ["g"], ["v"]).count() == 0
